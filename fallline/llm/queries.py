@@ -59,3 +59,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_secret_scan"] = oracles.secret_scan()
+
+
+@query
+def op6_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .word_table import encode_decode_digests
+
+    return encode_decode_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
