@@ -66,3 +66,10 @@ def op6_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .word_table import encode_decode_digests
 
     return encode_decode_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op8_log_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .log_frequency import score
+
+    return score(table(spark, sf_dir, "documents"))
