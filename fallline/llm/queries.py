@@ -73,3 +73,13 @@ def op8_log_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .log_frequency import score
 
     return score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bottom_k import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+ORACLES["op5_near_duplicates"] = oracles.NEAR_DUPLICATES
