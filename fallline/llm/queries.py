@@ -83,3 +83,17 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_near_duplicates"] = oracles.NEAR_DUPLICATES
+
+
+@query
+def op2_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .site_quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
