@@ -38,16 +38,18 @@ def ship(spark: SparkSession) -> None:
     sc._fallline_shipped = True
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, its lineage cut.
-
-    The folder is the one the session names. Only where none is named, as in local tests, is a
-    temporary one used.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the session names. Only where it names none, as in local tests, a temporary one."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="fallline-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder, its lineage cut."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

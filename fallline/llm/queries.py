@@ -97,3 +97,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score
 
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .norm_buckets import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+ORACLES["op7_norm_buckets"] = oracles.NORM_BUCKETS
