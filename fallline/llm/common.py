@@ -58,6 +58,11 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def whole_rows(docs: DataFrame):
+    """All columns of docs as one struct, so that none can clash with those an operator adds."""
+    return F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row__")
+
+
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
     """doc_id and the UTF-8 bytes of text (null: empty) of each row of Arrow batches."""
     for batch in batches:

@@ -171,7 +171,7 @@ def quality_rules(docs: DataFrame, least: int = LEAST_DOCS, fence: int = FENCE)
 
 
 def keep_good(docs: DataFrame, least: int = LEAST_DOCS, fence: int = FENCE) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs."""
-    rows = measured(docs)
+    """The rows of docs that the rules keep, with the columns of docs, whatever their names."""
+    rows = measured(docs.select("text", "lang", "source", common.whole_rows(docs)))
     limits = thresholds(rows.select("lang", "source", "rule_base"), least, fence)
-    return judged(rows, limits).where("rule_kept").select(*docs.columns)
+    return judged(rows, limits).where("rule_kept").select("row__.*")

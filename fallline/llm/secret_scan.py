@@ -125,15 +125,16 @@ def secret_scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def redacted(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """docs with each reported span of text replaced by <kind>; a null text stays null, rows all stay."""
-    rows = with_links(scanned(docs, docs.columns), scope)
+    rows = with_links(scanned(docs.select("text", common.whole_rows(docs)), ["row__"]), scope)
+    text = F.col("row__.text").cast("string")
     names = F.array(*map(F.lit, KINDS))
 
     def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(x.start - acc["at"], F.lit(0)))
+        gap = F.substring(text, acc["at"] + 1, F.greatest(x.start - acc["at"], F.lit(0)))
         mark = F.when(x.start >= acc["at"], F.concat(F.lit("<"), F.get(names, x["rank"]), F.lit(">"))).otherwise("")
         return F.struct(F.greatest(acc["at"], x.end).alias("at"), F.concat(acc.out, F.array(gap, mark)).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    put = F.aggregate(F.array_sort("every"), start, step, lambda a: F.concat(F.array_join(a.out, ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    text = F.when(F.size("every") > 0, put).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(*docs.columns)
+    put = F.aggregate(F.array_sort("every"), start, step, lambda a: F.concat(F.array_join(a.out, ""), F.substring(text, a["at"] + 1, F.length(text))))
+    done = F.when(F.size("every") > 0, put).otherwise(text)
+    return rows.select(F.col("row__").withField("text", done).alias("row__")).select("row__.*")

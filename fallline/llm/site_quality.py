@@ -74,16 +74,17 @@ def trained(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: i
     sample = F.broadcast(labelled_sample(labels, column, rows))  # of at most `rows` rows
     got = common.documents(docs).join(sample, F.col("doc_id") == F.col("id")).select("y", "text").mapInArrow(run, "y int, x array<double>").collect()
     got.sort(key=lambda r: (r.y, r.x))
-    return fit(np.array([r.x for r in got]).reshape(len(got), -1), np.array([r.y for r in got]))
+    return fit(np.array([r.x for r in got]).reshape(len(got), len(measures(b""))), np.array([r.y for r in got]))
 
 
 def with_evidence(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """docs with `evidence`, the log-odds of the text alone."""
     common.ship(docs.sparkSession)
+    nested = docs.columns == ["row__"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary())
+            texts = (batch.column("row__").field("text") if nested else batch.column("text")).cast(pa.large_binary())
             x = [float(np.clip(measures(t.as_py() or b"") @ weights, -30, 30)) for t in texts]
             yield batch.append_column("evidence", pa.array(x, pa.float64()))
 
@@ -141,6 +142,7 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, thresh
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the classifier keeps, with the columns of docs."""
-    scored = with_evidence(docs, trained(docs, labels, rows=rows))
-    return with_verdict(scored, site_priors(scored), threshold).where("good").select(*docs.columns)
+    """The rows of docs that the classifier keeps, with the columns of docs, whatever their names."""
+    scored = with_evidence(docs.select(common.whole_rows(docs)), trained(docs, labels, rows=rows))
+    scored = scored.select("row__", "evidence", "row__.lang", "row__.source")
+    return with_verdict(scored, site_priors(scored), threshold).where("good").select("row__.*")
