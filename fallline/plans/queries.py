@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..operators import aggregates, filters, joins, windows
+from ..operators import aggregates, filters, joins, meeting, windows
 from .fixtures import ctes, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,29 @@ add("snk07_expired", "f_requests", lambda r: filters.expired(r, F.lit("1999-01-0
 add("snk08_illegal", "f_requests", lambda r: filters.illegal(r, r.withColumn("status", F.when(F.col("id") % 2 == 0, "accepted").otherwise("declined"))), "SELECT id, status AS was, s AS status FROM (SELECT id, status, CASE WHEN id % 2 = 0 THEN 'accepted' ELSE 'declined' END AS s FROM f_requests) WHERE status <> s AND NOT (status = 'pending')")
 add("snk14_next_version", "f_edges", lambda e: filters.next_version(e.select("trail_group", F.col("source").alias("version")), "trail_group"), "SELECT trail_group, max(source) + 1 AS version FROM f_edges GROUP BY ALL")
 add("src09_decoded_time", "f_runs", lambda r: r.select("run_id", filters.decoded_time(F.col("distance_m") * F.pow(F.lit(10.0), F.col("run_id") % 8)).alias("unix_s")), f"SELECT run_id, {R('CASE WHEN v <= 0 THEN NULL WHEN v < 978307200 THEN v + 978307200 WHEN v < 3e9 THEN v ELSE v / 1000 END', 2)} AS unix_s FROM (SELECT run_id, distance_m * CAST(10 AS DOUBLE) ** (run_id % 8) AS v FROM f_runs)", 2)
+
+
+def geohash_sql(precision: int = 6) -> str:
+    bits = 5 * precision
+    nx, ny = (bits + 1) // 2, bits // 2
+    x, y = f"CAST(floor((lon + 180.0) / 360.0 * {2**nx}) AS BIGINT)", f"CAST(floor((lat + 90.0) / 180.0 * {2**ny}) AS BIGINT)"
+    bit = lambda at: f"(({x} >> {nx - 1 - at // 2}) & 1)" if at % 2 == 0 else f"(({y} >> {ny - 1 - at // 2}) & 1)"
+    parts = [f"substr('{geo.GEOHASH}', CAST(" + " + ".join(f"{bit(5 * k + j)} * {2 ** (4 - j)}" for j in range(5)) + " AS INTEGER) + 1, 1)" for k in range(precision)]
+    return " || ".join(parts)
+
+
+add("math06_geohash", "f_nodes", lambda n: n.select("id", geo.geohash(F.col("lat"), F.col("lon")).alias("cell")), f"SELECT id, {geohash_sql()} AS cell FROM f_nodes")
+add("math04_worst_first", "f_edges", lambda e: e.select("id", meeting.worst_first(F.array(F.col("gradient") / 50, F.col("vertical_m") / 150, F.lit(0.9))).alias("factor")), f"""
+SELECT id, {R("greatest(coalesce(p[1], 1) * coalesce(p[2], 1) ** (1.0 / 2) * coalesce(p[3], 1) ** (1.0 / 3), 0.25)")} AS factor FROM (SELECT id, list_sort(list_filter([gradient / 50, vertical_m / 150, 0.9], lambda x: x < 1)) AS p FROM f_edges)""")
+add("cost02_lift_wait", "f_edges", lambda e: e.where("kind = 'lift'").select("id", meeting.lift_wait((F.col("source") % 8), F.lit(180.0), F.col("source") % 7 >= 5).alias("wait_s")), f"SELECT id, {R('least(180.0 * CASE WHEN source % 8 >= 6 THEN 0.7 WHEN source % 8 >= 4 THEN 0.85 ELSE 1 END * CASE WHEN source % 7 >= 5 THEN 1.4 ELSE 1 END, 600)')} AS wait_s FROM f_edges WHERE kind = 'lift'")
+add("cost01_wind", "f_hourly", lambda h: h.select("time", meeting.wind_factor(F.col("wind_kph")).alias("factor")), "SELECT time, CASE WHEN wind_kph > 80 THEN 3.0 WHEN wind_kph > 60 THEN 1.5 WHEN wind_kph > 40 THEN 1.2 ELSE 1.0 END AS factor FROM f_hourly")
+add("cost06_lapse", "f_nodes", lambda n: n.select("id", meeting.lapse(F.lit(-4.0), F.col("elevation"), F.lit(2000.0)).alias("temperature_c")), f"SELECT id, {R('-4.0 - 6.5 * (elevation - 2000) / 1000')} AS temperature_c FROM f_nodes")
+add("rte04_meeting", "f_edges", lambda e: meeting.meeting_points(paths(e).withColumnRenamed("metres", "seconds"), 3, 5), f"SELECT * FROM ({REACH} SELECT node, {R('max(m) + 0.6 * (max(m) - min(m))')} AS score FROM (SELECT person, node, min(metres) AS m FROM walk GROUP BY ALL) GROUP BY node HAVING count(*) = 3 ORDER BY max(m) + 0.6 * (max(m) - min(m)), node LIMIT 5)")
+ITEMS = "CASE id % 4 WHEN 0 THEN 'official' WHEN 1 THEN 'skimap' WHEN 2 THEN 'openskimap' ELSE 'overpass' END"
+add("er01_reconciled", "f_names", lambda n: meeting.reconciled(n.select(F.lit("run").alias("kind"), F.lower("official").alias("key"), F.expr(ITEMS).alias("source"), "name")), f"""
+SELECT 'run' AS kind, key, min(name) FILTER (k = 1) AS name, {R("CASE WHEN bool_or(source = 'official') THEN 1 ELSE least(sum(w), 1) END")} AS confidence, string_agg(source, ',' ORDER BY source) AS sources FROM (
+ SELECT *, row_number() OVER (PARTITION BY key ORDER BY w DESC) AS k FROM (SELECT lower(official) AS key, {ITEMS} AS source, min(name) AS name, CASE id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.45 WHEN 2 THEN 0.35 ELSE 0.2 END AS w FROM f_names GROUP BY ALL)) GROUP BY key""")
+add("er06_pinned", "f_resorts", lambda r: meeting.pinned(r, r.where("id < 'r2'").select(F.col("id").alias("key"), F.length("name").alias("version")).union(r.sparkSession.createDataFrame([("__catalog__", 99)], "key string, version int"))), "SELECT id, CASE WHEN id < 'r2' THEN CAST(length(name) AS INTEGER) ELSE 99 END AS version FROM f_resorts")
+add("stm01_latest_wins", "f_fixes", lambda x: windows.latest(x, ["user_id"], -F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id")).select("user_id", "event_id"), "SELECT user_id, event_id FROM f_fixes QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1")
+add("stm03_signal", "f_fixes", lambda x: x.select("event_id", meeting.signal(F.col("event_id") % 600).alias("signal")), "SELECT event_id, CASE WHEN event_id % 600 < 75 THEN 'live' WHEN event_id % 600 <= 300 THEN 'stale' ELSE 'cold' END AS signal FROM f_fixes")
+add("stm13_monotone", "f_fixes", lambda x: meeting.monotone(x.withColumn("generation", F.col("event_id") % 23)).select("event_id"), "SELECT event_id FROM (SELECT event_id, event_id % 23 AS g, max(CASE WHEN event_id % 23 > 0 THEN event_id % 23 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM f_fixes) WHERE g = 0 OR m IS NULL OR g > m")
