@@ -133,20 +133,26 @@ def first_pairs(led: DataFrame) -> DataFrame:
     return led.where("x != lead").groupBy("x", "lead").agg(F.max(F.col("many") > SHORT).alias("long"))
 
 
-def rest_pairs(led: DataFrame, compared: DataFrame, labels: DataFrame) -> DataFrame:
+def rest_pairs(led: DataFrame, compared: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): pairs in different components, not both linked to one leader, that may be similar."""
     of = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
     known = compared.where("long").join(of("x"), "x", "left").withColumn("c", F.coalesce("c_x", "x"))
     far = known.where("NOT linked").join(of("lead"), "lead", "left").withColumn("apart", F.col("c") != F.coalesce("c_lead", "lead"))
-    entry = lambda rows, width: rows.select("lead", "x", "c", F.explode(width).alias("e"))
-    close = entry(known.where("linked"), F.col("difference")).select("lead", "e", F.col("x").alias("y"), F.col("c").alias("cy"))
-    both = entry(far, F.slice("difference", F.lit(1), F.col("far_width")))
-    mine = both.select("lead", "e", F.col("x").alias("y"), F.col("c").alias("cy"))
-    one = both.join(mine, ["lead", "e"]).where("x < y AND c != cy")
-    two = entry(far.where("apart"), F.col("difference")).join(close, ["lead", "e"]).where("c != cy")
+    mine = lambda rows, width: rows.select("lead", "x", "c", "need", "rest", "delta", (F.col("delta") - F.size(width)).alias("left"), F.explode(width).alias("e"))
+    other = lambda rows: rows.select("lead", "e", *(F.col(k).alias(f"{k}_y") for k in ("x", "c", "need", "delta", "left")))
+    # What two differences share is no more than the smaller. More closely: it is what their entered
+    # elements are seen to share, and of the one whose entries end first in the order, others.
+    wanted = F.col("need") + F.col("need_y") + F.col("rest")
+    fits = (F.col("c") != F.col("c_y")) & ((100 + percent) * F.least("delta", "delta_y") >= wanted)
+    both = mine(far, F.slice("difference", F.lit(1), F.col("far_width")))
+    one = both.join(other(both), ["lead", "e"]).where(fits & (F.col("x") < F.col("x_y")))
+    two = mine(far.where("apart"), F.col("difference")).join(other(mine(known.where("linked"), F.col("difference"))), ["lead", "e"]).where(fits)
+    met = one.union(two).groupBy("lead", "x", "x_y").agg(F.count("*").alias("s"), F.max(wanted).alias("wanted"), *(F.max(k).alias(k) for k in ("left", "left_y", "delta", "delta_y")))
+    more = F.greatest(F.least("left", F.col("delta_y") - F.col("s")), F.least("left_y", F.col("delta") - F.col("s")))
+    met = met.where((100 + percent) * (F.col("s") + more) >= F.col("wanted")).select("x", F.col("x_y").alias("y"))
     few = led.where(F.col("many") <= SHORT).join(of("x"), "x", "left").select("value", "x", F.coalesce("c_x", "x").alias("c"))
     three = few.join(few.select("value", F.col("x").alias("y"), F.col("c").alias("cy")), "value").where("x < y AND c != cy")
-    found = one.select("x", "y").union(two.select("x", "y")).union(three.select("x", "y"))
+    found = met.union(three.select("x", "y"))
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -259,8 +265,9 @@ def with_texts(found: DataFrame, texts: DataFrame, a: str, b: str) -> DataFrame:
     return left.join(texts.select(F.col("node").alias(b), F.col("packed").alias("xb")), b).select(a, b, "xa", "xb")
 
 
-def differences(x: np.ndarray, lead: np.ndarray, percent: int, hot: np.ndarray | None = None) -> tuple[bool, int, np.ndarray]:
-    """Whether x is linked to the leader, and the elements of its difference to be entered.
+def differences(x: np.ndarray, lead: np.ndarray, percent: int, hot: np.ndarray | None = None) -> tuple[bool, int, int, int, int, np.ndarray]:
+    """linked, need, rest, delta, far_width and difference: whether x is linked to the leader, what a
+    pair with it needs, the size of its difference, and the elements of it to be entered.
 
     Of one that is not linked the first `far_width` are to meet others not linked, and all those
     returned to meet linked ones. Those come first that few others differ in: what x alone has and
@@ -275,15 +282,15 @@ def differences(x: np.ndarray, lead: np.ndarray, percent: int, hot: np.ndarray |
         every = every[np.argsort(np.where(np.arange(a + b) < b, 2 * common, 3 - 2 * common), kind="stable")]
     if need <= 0:
         least = -(-(need + rest + 1) // (100 + percent))
-        return True, 0, every[: max(0, a + b - least + 1)]
+        return True, need, rest, a + b, 0, every[: max(0, a + b - least + 1)]
     close = -(-need // 100)  # s <= a_y + b_y gives 100 s >= need_x
     far = max(close, -(-(need + rest) // (100 + percent)))
-    return False, max(0, a + b - far + 1), every[: max(0, a + b - close + 1)]
+    return False, need, rest, a + b, max(0, a + b - far + 1), every[: max(0, a + b - close + 1)]
 
 
 def compared(found: DataFrame, texts: DataFrame, words: int, percent: int, hot) -> DataFrame:
-    """found(x, lead) with linked, far_width and difference. hot: a broadcast of common_elements()."""
-    schema = pa.schema([("x", pa.int64()), ("lead", pa.int64()), ("linked", pa.bool_()), ("far_width", pa.int32()), ("difference", pa.list_(pa.int64()))])
+    """found(x, lead) with what differences() says. hot: a broadcast of common_elements()."""
+    schema = pa.schema([("x", pa.int64()), ("lead", pa.int64()), ("linked", pa.bool_()), ("need", pa.int64()), ("rest", pa.int64()), ("delta", pa.int32()), ("far_width", pa.int32()), ("difference", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(words)
@@ -295,7 +302,7 @@ def compared(found: DataFrame, texts: DataFrame, words: int, percent: int, hot)
 
         yield from common.batches_of(made(), schema)
 
-    return with_texts(found, texts, "x", "lead").mapInArrow(run, "x long, lead long, linked boolean, far_width int, difference array<long>")
+    return with_texts(found, texts, "x", "lead").mapInArrow(run, "x long, lead long, linked boolean, need long, rest long, delta int, far_width int, difference array<long>")
 
 
 def verified(found: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -330,7 +337,7 @@ def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     first = common.checkpointed(compared(pairs, texts, words, percent, hot).join(pairs, ["x", "lead"]))
     links = first.where("linked").select(F.col("x").alias("a"), F.col("lead").alias("b"))
     labels = components(links)
-    more = common.checkpointed(verified(likely(rest_pairs(led, first, labels), nodes), texts, words, percent))
+    more = common.checkpointed(verified(likely(rest_pairs(led, first, labels, percent), nodes), texts, words, percent))
     if not more.isEmpty():
         labels = components(links.union(more))
     by_mark = nodes.select("mark", "node").join(labels, "node", "left").select("mark", F.coalesce("component", "node").alias("c"))
@@ -354,5 +361,5 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay when one document of each component does, with the columns of docs."""
     gone = common.checkpointed(labelled(docs, words, percent).where("doc_id != component_id").select(F.col("doc_id").alias("id")).distinct())
-    maybe, surely = among(docs, gone)
-    return surely.unionByName(maybe.join(gone, F.col("doc_id") == F.col("id"), "left_anti"))
+    maybe, surely = among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_rows(docs)), gone)
+    return surely.unionByName(maybe.join(gone, F.col("doc_id") == F.col("id"), "left_anti")).select("row__.*")
