@@ -3,9 +3,9 @@
 Word counts are exact: they come from the vocabulary join by blocks. Bigram counts are quantised to
 the logarithm, level 1 + floor(log_1.5 count), and a bigram of level q is put into a Bloom filter
 once for each level up to q; a reader probes level after level until one is missing. The filter is
-of fixed size and is broadcast. It is cut into slices by bigram hash, which tasks build apart; a
-slice that would grow too full stores only the bigrams from some level on, and says which, so the
-rate of false hits is bounded whatever the corpus.
+cut into slices by bigram hash, which grow with what is put into them, so each stays half empty at
+most and no bigram is left out. No task holds more than one slice: blocks send their bigrams to the
+slices and are told the levels, as they are told the counts of words.
 
 P(w | u) = share * q(u, w) / c(u) + (1 - share) * (c(w) + 1) / (N + V + 1), q being the least count of
 the level. As no level overstates its count, the probabilities after u sum to 1 at most.
@@ -25,16 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .blocks import ARROW, SCHEMA, answers, blocks, finished, in_parts, pack_words, parts_for, squeeze, unpack_words, unsqueeze, word_hash
+from .blocks import answers, finished, in_parts, pack_words, parts_for, squeeze, unpack_words, unsqueeze, word_hash
 
 END = b"\n"
 KEY_BITS = 48
+#: Bits of all slices together before any of them grows.
 FILTER_BITS = 1 << 27
+LEAST_BITS = 512
 PROBES = 3
 BASE = 1.5
 LEVELS = 48
 SHARE = 0.2
-TOKENS_AT_ONCE = 200_000
 #: The least count of each level; level 0 is that of what was not found.
 LEAST = np.array([0.0] + [math.ceil(BASE**q) for q in range(LEVELS)])
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -65,47 +66,44 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.searchsorted(LEAST, counts, side="right") - 1, LEVELS)
 
 
-def places(key: np.ndarray, lev: np.ndarray | int, bits: int) -> list[np.ndarray]:
+def places(key: np.ndarray, lev: np.ndarray | int, bits: np.ndarray | int) -> list[np.ndarray]:
     h = mix(key * np.uint64(0xD6E8FEB86659FD93) + np.uint64(lev) if np.isscalar(lev) else key * np.uint64(0xD6E8FEB86659FD93) + lev.astype(np.uint64))
-    step = mix(h) | np.uint64(1)
-    return [(h + np.uint64(j) * step) & np.uint64(bits - 1) for j in range(PROBES)]
+    step, last = mix(h) | np.uint64(1), np.asarray(bits, np.uint64) - np.uint64(1)
+    return [(h + np.uint64(j) * step) & last for j in range(PROBES)]
 
 
 def build_slice(key: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
-    """A slice of the filter: its least level, then its bits."""
+    """A slice of the filter, of `bits` bits, doubled until all levels of all bigrams leave it half empty."""
     q = level(counts)
-    at_least = np.bincount(q, minlength=LEVELS + 2)[::-1].cumsum()[::-1]  # bigrams of each level or more
-    inserted = at_least[::-1].cumsum()[::-1]  # insertions if levels from here on are stored
-    first = next(x for x in range(1, LEVELS + 2) if inserted[x] * PROBES <= bits * math.log(2))
+    while int(q.sum()) * PROBES > bits * math.log(2):
+        bits *= 2
     out = np.zeros(bits, bool)
-    for x in range(first, int(q.max(initial=0)) + 1):
+    for x in range(1, int(q.max(initial=0)) + 1):
         for at in places(key[q >= x], x, bits):
             out[at] = True
-    return bytes([first]) + np.packbits(out, bitorder="little").tobytes()
+    return np.packbits(out, bitorder="little").tobytes()
 
 
 class LogFrequencyFilter:
     def __init__(self, slices: list[bytes]):
         self.count = len(slices)
-        self.bits = 8 * (len(slices[0]) - 1)
-        self.first = np.array([x[0] for x in slices], np.uint8)
-        self.data = np.frombuffer(b"".join(x[1:] for x in slices), np.uint8)
+        self.bits = np.array([8 * len(x) for x in slices], np.int64)
+        self.start = self.bits.cumsum() - self.bits
+        self.data = np.frombuffer(b"".join(slices), np.uint8)
         self.shift = np.uint64(KEY_BITS - (self.count.bit_length() - 1))
 
     def levels(self, key: np.ndarray) -> np.ndarray:
         """The level of each key, 0 where none is found."""
         part = (key >> self.shift).astype(np.int64)
-        found, first = np.zeros(len(key), np.int64), self.first[part].astype(np.int64)
-        alive, lev = np.arange(len(key)), first.copy()
-        while len(alive):
+        found, alive, lev = np.zeros(len(key), np.int64), np.arange(len(key)), 1
+        while len(alive) and lev <= LEVELS:
             hit = np.ones(len(alive), bool)
-            for at in places(key[alive], lev[alive], self.bits):
-                pos = part[alive] * self.bits + at.astype(np.int64)
+            for at in places(key[alive], lev, self.bits[part[alive]]):
+                pos = self.start[part[alive]] + at.astype(np.int64)
                 hit &= (self.data[pos >> 3] >> (pos & 7).astype(np.uint8) & 1).astype(bool)
             alive = alive[hit]
-            found[alive] = lev[alive]
-            lev[alive] += 1
-            alive = alive[lev[alive] <= LEVELS]
+            found[alive] = lev
+            lev += 1
         return found
 
 
@@ -148,65 +146,57 @@ def totals(told: DataFrame) -> tuple[int, int]:
     return row.n or 0, row.v or 0
 
 
-def bigram_filter(docs: DataFrame, parts: int, bits: int = FILTER_BITS) -> list[bytes]:
-    """The slices of the filter, of `bits` bits in all whatever the corpus."""
-    slices = min(1 << (parts - 1).bit_length(), bits >> 9)
-    own = bits // slices
-    shift = np.uint64(KEY_BITS - (slices.bit_length() - 1))
-
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made() -> Iterator[tuple]:
-            for block in blocks(batches):
-                number: dict[bytes, int] = {}
-                found = []
-                for doc_id, text in block.rows:
-                    if not held_out(doc_id):
-                        ids = [number.setdefault(w, len(number)) for w in tokens(text)]
-                        end = number[END]
-                        found.append(np.array([end, *ids], np.uint32))
-                if not found:
-                    continue
-                hashes = np.fromiter(map(word_hash, number), np.uint64, len(number))
-                got, counts = np.unique(np.concatenate([keys(hashes[x[:-1]], hashes[x[1:]]) for x in found]), return_counts=True)
-                part = (got >> shift).astype(np.int64)
-                at = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(got)]
-                for a, b in zip(at[:-1], at[1:], strict=True):
-                    gaps = np.diff(got[a:b], prepend=np.uint64(0))
-                    wide = int(gaps[1:].max(initial=0)) >> 32 > 0
-                    head = struct.pack("<?IQ", wide, b - a, int(got[a]))
-                    yield block.number, int(part[a]), 0, squeeze(head + gaps[1:].astype("<u8" if wide else "<u4").tobytes() + counts[a:b].astype("<u4").tobytes(), 1)
-
-        yield from common.batches_of(made(), ARROW, 256)
-
-    def sliced(table: pa.Table) -> pa.Table:
+def slices_for(parts: int) -> int:
+    """Slices of the filter, a power of two, so that a slice is a range of keys."""
+    return 1 << (parts - 1).bit_length()
+
+
+def by_slice(key: np.ndarray, slices: int) -> list[tuple[int, int, int]]:
+    """(slice, from, to) of sorted keys."""
+    part = (key >> np.uint64(KEY_BITS - (slices.bit_length() - 1))).astype(np.int64)
+    at = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(key)]
+    return [(int(part[a]), a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def bigram_levels(docs: DataFrame, slices: int, bits: int = FILTER_BITS) -> DataFrame:
+    """What each slice of the filter tells each block: the levels of the block's distinct bigrams, in order of their keys."""
+    own = max(bits // slices, LEAST_BITS)
+
+    def send(block) -> Iterator[tuple[int, bytes]]:
+        number: dict[bytes, int] = {}
+        every, held = [], []
+        for doc_id, text in block.rows:
+            ids = [number.setdefault(w, len(number)) for w in tokens(text)]
+            (held if held_out(doc_id) else every).append(np.array([number[END], *ids], np.uint32))
+        hashes = np.fromiter(map(word_hash, number), np.uint64, len(number))
+        made = lambda some: np.concatenate([np.zeros(0, np.uint64), *(keys(hashes[x[:-1]], hashes[x[1:]]) for x in some)])
+        held = made(held)
+        got, counts = np.unique(np.concatenate([made(every), held]), return_counts=True)
+        asked, times = np.unique(held, return_counts=True)
+        counts[np.searchsorted(got, asked)] -= times  # asked for, not learnt from
+        for part, a, b in by_slice(got, slices):
+            gaps = np.diff(got[a:b])
+            wide = int(gaps.max(initial=0)) >> 32 > 0
+            head = struct.pack("<?IQ", wide, b - a, int(got[a]))
+            yield part, squeeze(head + gaps.astype("<u8" if wide else "<u4").tobytes() + counts[a:b].astype("<u4").tobytes(), 1)
+
+    def answer(lists: list[tuple[int, bytes]]) -> Iterator[bytes]:
         every, counts = [], []
-        for x in table.column("data"):
-            raw = unsqueeze(x.as_py())
+        for _, data in lists:
+            raw = unsqueeze(data)
             wide, n, start = struct.unpack_from("<?IQ", raw)
             kind, at = ("<u8", 13 + 8 * (n - 1)) if wide else ("<u4", 13 + 4 * (n - 1))
             every.append(np.concatenate([[np.uint64(start)], np.frombuffer(raw, kind, n - 1, 13).astype(np.uint64)]).cumsum(dtype=np.uint64))
             counts.append(np.frombuffer(raw, "<u4", n, at))
         key, where = np.unique(np.concatenate(every), return_inverse=True)
-        data = build_slice(key, np.bincount(where, np.concatenate(counts)), own)
-        part = table.column("part")[0].as_py()
-        return pa.Table.from_arrays([pa.array([0], pa.int64()), pa.array([part], pa.int32()), pa.array([0], pa.int64()), pa.array([data], pa.binary())], schema=ARROW)
-
-    common.ship(docs.sparkSession)
-    lists = common.documents(docs).mapInArrow(sent, SCHEMA)
-    got = {r.part: bytes(r.data) for r in lists.repartition(slices, "part").groupBy("part").applyInArrow(sliced, SCHEMA).select("part", "data").collect()}
-    empty = bytes([1]) + bytes(own // 8)
-    return [got.get(k, empty) for k in range(slices)]
-
-
-_FILTERS: dict[int, LogFrequencyFilter] = {}
-
+        total = np.bincount(where, np.concatenate(counts))
+        learnt = total > 0
+        bloom = LogFrequencyFilter([build_slice(key[learnt], total[learnt], own)])
+        told = bloom.levels(key).astype(np.uint8)[where]
+        for x in np.split(told, np.cumsum([len(x) for x in every])[:-1]):
+            yield squeeze(x.tobytes())
 
-def opened(shared) -> LogFrequencyFilter:
-    """The filter of a broadcast, opened once in a Python worker."""
-    if shared.value[0] not in _FILTERS:
-        _FILTERS.clear()
-        _FILTERS[shared.value[0]] = LogFrequencyFilter(shared.value[1])
-    return _FILTERS[shared.value[0]]
+    return answers(docs, slices, send, answer)
 
 
 def score(docs: DataFrame, bits: int = FILTER_BITS, share: float = SHARE) -> DataFrame:
@@ -215,47 +205,35 @@ def score(docs: DataFrame, bits: int = FILTER_BITS, share: float = SHARE) -> Dat
     A null or empty text is its end alone. Repeated rows are learnt from and scored each. A null
     doc_id is one to learn from and is passed on. Other columns are not read. An empty table gives an
     empty one. The counts told to the blocks go to the checkpoint folder: N and V are summed from
-    them before any text is scored.
+    them before any text is scored. bits: of the filter at least; it grows with the corpus.
     """
-    spark, parts = docs.sparkSession, parts_for(docs)
+    parts = parts_for(docs)
+    slices = slices_for(parts)
     told = common.checkpointed(vocabulary_counts(docs, parts))
     n_all, n_words = totals(told)
-    shared = spark.sparkContext.broadcast((id(told), bigram_filter(docs, parts, bits)))
+    levels = bigram_levels(docs, slices, bits).withColumn("part", F.col("part") + parts)
     floor = float(n_all + n_words + 1)
 
     def finish(rows: list[tuple[int | None, bytes]], data: dict[int, bytes]) -> Iterator[tuple]:
-        bloom = opened(shared)
-        listed = {w for _, text in rows for w in tokens(text)}
         number: dict[bytes, int] = {}
-        counts, hashes = [], []
-        for part, words in in_parts(list(listed), parts):
-            number.update(zip(words, range(len(number), len(number) + len(words)), strict=True))
-            counts.append(np.frombuffer(unsqueeze(data[part][16:]), np.int64))
-            hashes.append(np.fromiter(map(word_hash, words), np.uint64, len(words)))
-        c, h = np.concatenate(counts), np.concatenate(hashes)
+        texts = [np.array([number.setdefault(w, len(number)) for w in tokens(text)], np.uint32) for _, text in rows]
+        c, h = np.zeros(len(number), np.int64), np.zeros(len(number), np.uint64)
+        for part, words in in_parts(list(number), parts):
+            at = np.fromiter((number[w] for w in words), np.int64, len(words))
+            c[at] = np.frombuffer(unsqueeze(data[part][16:]), np.int64)
+            h[at] = np.fromiter(map(word_hash, words), np.uint64, len(words))
         unigram = (c + 1.0) / floor
-        end = number[END]
-
-        def scored(some: list[tuple[int | None, list[bytes]]]) -> Iterator[tuple]:
-            sizes = np.array([len(x) for _, x in some])
-            ids = np.fromiter((number[w] for _, x in some for w in x), np.int64, int(sizes.sum()))
-            starts = sizes.cumsum() - sizes
-            before = np.concatenate([[end], ids[:-1]])
-            before[starts] = end  # as many texts begin as end
-            q = LEAST[bloom.levels(keys(h[before], h[ids]))]
-            p = share * np.minimum(q / np.maximum(c[before], 1), 1.0) + (1 - share) * unigram[ids]
-            sums = [np.add.reduceat(x, starts) for x in ((c[ids] > 0).astype(np.int64), np.log10(unigram[ids]), np.log10(p))]
-            for k, (doc_id, x) in enumerate(some):
-                yield doc_id, held_out(doc_id), len(x), int(sums[0][k]), n_all, float(sums[1][k]), float(sums[2][k])
-
-        some, weight = [], 0
-        for doc_id, text in rows:
-            some.append((doc_id, tokens(text)))
-            weight += len(some[-1][1])
-            if weight >= TOKENS_AT_ONCE:
-                yield from scored(some)
-                some, weight = [], 0
-        if some:
-            yield from scored(some)
-
-    return finished(docs, told, parts, finish, SCORES_ARROW, SCORES)
+        sizes = np.array([len(x) for x in texts])
+        ids = np.concatenate(texts)
+        starts = sizes.cumsum() - sizes
+        before = np.concatenate([ids[:1], ids[:-1]])
+        before[starts] = number[END]
+        key, where = np.unique(keys(h[before], h[ids]), return_inverse=True)
+        found = np.concatenate([np.frombuffer(unsqueeze(data[parts + k]), np.uint8) for k, _, _ in by_slice(key, slices)])
+        q = LEAST[found[where]]
+        p = share * np.minimum(q / np.maximum(c[before], 1), 1.0) + (1 - share) * unigram[ids]
+        sums = [np.add.reduceat(x, starts) for x in ((c[ids] > 0).astype(np.int64), np.log10(unigram[ids]), np.log10(p))]
+        for k, (doc_id, _) in enumerate(rows):
+            yield doc_id, held_out(doc_id), int(sizes[k]), int(sums[0][k]), n_all, float(sums[1][k]), float(sums[2][k])
+
+    return finished(docs, told.unionByName(levels), parts, finish, SCORES_ARROW, SCORES)

@@ -119,6 +119,29 @@ def test_language_model(spark, tmp_path):
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
+def test_language_model_keeps_every_bigram(spark):
+    """However small the filter begins, no bigram's level is lost: scores are those of exact levels or a little more."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [(r.doc_id, [b"\n", *log_frequency.tokens((r.text or "").encode())]) for r in docs.collect()]
+    learnt = [x for i, x in texts if not log_frequency.held_out(i)]
+    c, pairs = Counter(w for x in learnt for w in x[1:]), Counter(p for x in learnt for p in zip(x, x[1:], strict=False))
+    floor, least = sum(c.values()) + len(c) + 1, {n: log_frequency.LEAST[log_frequency.level(np.array([n]))[0]] for n in {0, *pairs.values()}}
+    p = lambda u, w: 0.2 * least[pairs[u, w]] / max(c[u], 1) + 0.8 * (c[w] + 1) / floor
+    want = {i: sum(math.log10(p(u, w)) for u, w in zip(x, x[1:], strict=False)) for i, x in texts}
+    got = {r.doc_id: r.score for r in log_frequency.score(docs, bits=1 << 10).collect()}
+    assert got.keys() == want.keys() and all(got[i] >= want[i] - 1e-6 for i in want)
+    assert sum(got.values()) < 0.95 * sum(want.values())  # both are negative
+
+
+def test_slices_grow():
+    rnd = np.random.default_rng(8)
+    key = np.unique(rnd.integers(0, 1 << 48, 50_000, dtype=np.uint64))
+    counts = np.where(np.arange(len(key)) % 5, 1, 9)
+    f = log_frequency.LogFrequencyFilter([log_frequency.build_slice(key, counts, 1 << 9)])
+    assert (f.levels(key) >= log_frequency.level(counts)).all()
+    assert (f.levels(rnd.integers(0, 1 << 48, 5000, dtype=np.uint64)) > 0).mean() < 0.15
+
+
 def test_filter_levels():
     """No stored count is missed or overstated, and few others are found."""
     rnd = np.random.default_rng(6)
