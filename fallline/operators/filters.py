@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,11 +84,28 @@ def decoded_time(value: Column) -> Column:
     return F.when((value <= 0) | F.isnan(value), None).when(value < 978_307_200, value + 978_307_200).when(value < 3e9, value).otherwise(value / 1000)
 
 
-def reachable(edges: DataFrame, sources: DataFrame, rounds: int = 4) -> DataFrame:
-    """Least length from each source node over open edges within so many steps, by relaxation of whole frontiers."""
-    e = edges.where("is_open").select(F.col("source").alias("node"), F.col("target").alias("to"), "length_m")
-    best = sources.select("person", "node", F.lit(0.0).alias("metres"))
-    for _ in range(rounds):
-        step = best.join(e, "node").select("person", F.col("to").alias("node"), (F.col("metres") + F.col("length_m")).alias("metres"))
-        best = best.union(step).groupBy("person", "node").agg(F.min("metres").alias("metres"))
+def kept(df: DataFrame) -> DataFrame:
+    """df in the checkpoint folder, a temporary one only where the session names none; its lineage is cut."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fallline-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+def reachable(edges: DataFrame, sources: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Least length from each source node over open edges, by relaxation of whole frontiers until none changes.
+
+    No length may be negative. With rounds given, over so many edges at most.
+    """
+    e = edges.where("is_open AND length_m IS NOT NULL").select(F.col("source").alias("node"), F.col("target").alias("to"), "length_m")
+    best = sources.select("person", "node", F.lit(0.0).alias("metres")).distinct()
+    changed, done = best, 0
+    while done != rounds:
+        step = changed.join(e, "node").groupBy("person", F.col("to").alias("node")).agg(F.min(F.col("metres") + F.col("length_m")).alias("metres"))
+        known = best.select("person", "node", F.col("metres").alias("was"))
+        changed = kept(step.join(known, ["person", "node"], "left").where("was IS NULL OR metres < was").drop("was"))
+        if changed.isEmpty():
+            break
+        best = kept(best.union(changed).groupBy("person", "node").agg(F.min("metres").alias("metres")))
+        done += 1
     return best

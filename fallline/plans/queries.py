@@ -107,12 +107,18 @@ PATHS = "SELECT 1 AS person, 1 AS node UNION ALL SELECT 2, 2 UNION ALL SELECT 3,
 REACH = f"""WITH RECURSIVE src AS ({PATHS}), walk AS (SELECT person, CAST(node AS BIGINT) AS node, CAST(0 AS DOUBLE) AS metres, 0 AS k FROM src UNION ALL SELECT w.person, e.target, w.metres + e.length_m, k + 1 FROM walk w JOIN f_edges e ON e.source = w.node AND e.is_open WHERE k < 4)"""
 
 
-def paths(edges: DataFrame) -> DataFrame:
-    return filters.reachable(edges, edges.sparkSession.createDataFrame([(1, 1), (2, 2), (3, 3)], "person int, node long"))
+def paths(edges: DataFrame, rounds: int | None = 4) -> DataFrame:
+    """Over 4 edges at most, as REACH, or with None over all."""
+    return filters.reachable(edges, edges.sparkSession.createDataFrame([(1, 1), (2, 2), (3, 3)], "person int, node long"), rounds)
 
 
 add("gra_reachable", "f_edges", paths, f"SELECT * FROM ({REACH} SELECT person, node, {R('min(metres)')} AS metres FROM walk GROUP BY ALL)")
 add("jn16_reached_by_all", "f_edges", lambda e: joins.reached_by_all(paths(e).withColumnRenamed("metres", "seconds"), 3), f"SELECT * FROM ({REACH} SELECT node, {R('max(m)')} AS slowest FROM (SELECT person, node, min(metres) AS m FROM walk GROUP BY ALL) GROUP BY node HAVING count(*) = 3)")
+#: No shortest way visits a node twice, so walks end there and not at a number of steps.
+REACH_ALL = f"""WITH RECURSIVE src AS ({PATHS}), walk AS (SELECT person, CAST(node AS BIGINT) AS node, CAST(0 AS DOUBLE) AS metres, [CAST(node AS BIGINT)] AS seen FROM src UNION ALL SELECT w.person, e.target, w.metres + e.length_m, list_append(w.seen, e.target) FROM walk w JOIN f_edges e ON e.source = w.node AND e.is_open WHERE NOT list_contains(w.seen, e.target))"""
+add("rte01_one_to_all", "f_edges", lambda e: paths(e, None), f"SELECT * FROM ({REACH_ALL} SELECT person, node, {R('min(metres)')} AS metres FROM walk GROUP BY ALL)")
+add("rte01_reached_by_all", "f_edges", lambda e: joins.reached_by_all(paths(e, None).withColumnRenamed("metres", "seconds"), 3), f"SELECT * FROM ({REACH_ALL} SELECT node, {R('max(m)')} AS slowest FROM (SELECT person, node, min(metres) AS m FROM walk GROUP BY ALL) GROUP BY node HAVING count(*) = 3)")
+add("rte01_meeting", "f_edges", lambda e: meeting.meeting_points(paths(e, None).withColumnRenamed("metres", "seconds"), 3, 5), f"SELECT * FROM ({REACH_ALL} SELECT node, {R('max(m) + 0.6 * (max(m) - min(m))')} AS score FROM (SELECT person, node, min(metres) AS m FROM walk GROUP BY ALL) GROUP BY node HAVING count(*) = 3 ORDER BY max(m) + 0.6 * (max(m) - min(m)), node LIMIT 5)")
 
 add("win01_deltas", "f_fixes", lambda x: windows.deltas(x).select("event_id", "dt", "metres", "descent"), f"""
 SELECT event_id, {R("(epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000000.0", 3)} AS dt, {R(HAV.format(a1="lag(lat) OVER w", a2="lag(lon) OVER w", b1="lat", b2="lon"), 3)} AS metres, CASE WHEN lag(elevation) OVER w - elevation > 1 THEN lag(elevation) OVER w - elevation ELSE 0 END AS descent
