@@ -94,6 +94,8 @@ SELECT event_id, time AS matched, {R("wind_kph")} AS wind_kph FROM (SELECT event
 FROM f_fixes JOIN f_hourly ON abs(epoch_us(ts) - epoch_us(time)) <= 86400000000) WHERE k = 1""")
 add("jn12_crumbs", "f_fixes", lambda x: windows.crumbs(x.where("event_id % 10 = 3").select(F.col("event_id").alias("id"), "user_id", (F.col("ts") + F.expr("INTERVAL '1' HOUR")).alias("ts")), x), """
 SELECT id, crumb FROM (SELECT q.event_id AS id, b.event_id AS crumb, row_number() OVER (PARTITION BY q.event_id ORDER BY b.ts DESC, b.event_id DESC) AS k FROM f_fixes q JOIN f_fixes b ON q.user_id = b.user_id AND b.ts <= q.ts + INTERVAL 1 HOUR WHERE q.event_id % 10 = 3) WHERE k = 1""")
+add("jn12_every_crumb", "f_fixes", lambda x: windows.crumbs(x.select(F.col("event_id").alias("id"), "user_id", (F.col("ts") + F.expr("INTERVAL '1' HOUR")).alias("ts")), x), """
+SELECT q.event_id AS id, b.event_id AS crumb FROM f_fixes q ASOF JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM f_fixes GROUP BY ALL) b ON q.user_id = b.user_id AND q.ts + INTERVAL 1 HOUR >= b.ts""")
 add("jn13_overlay", "f_edges f_names", lambda e, n: joins.edge_overlay(e, e.where("source % 13 = 0").select(F.col("id").alias("key"), F.lit("by id").alias("label")), n.where("id % 6 = 0").select(F.lower("official").alias("key")).distinct().withColumn("label", F.concat(F.lit("by name "), "key"))), """
 SELECT e.id, CASE WHEN source % 13 = 0 THEN 'by id' WHEN lower(e.name) IN (SELECT lower(official) FROM f_names WHERE id % 6 = 0) THEN 'by name ' || lower(e.name) END AS label FROM f_edges e""")
 add("jn15_observation", "f_runs", lambda r: joins.observation(r.select("profile_id", "edge_id").where("edge_id IS NOT NULL").distinct().withColumn("conditions_fp", F.lit("R")), aggregates.edge_speeds(r, as_of()).where("resort_id = 'r1'")), f"""
