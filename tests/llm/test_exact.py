@@ -13,7 +13,7 @@ import public_tokenizers as P
 import pytest
 from compare import same
 
-from fallline.llm import best_fit, bottom_k, log_frequency, norm_buckets, token_counts, toxicity, word_table
+from fallline.llm import best_fit, bottom_k, log_frequency, norm_buckets, token_counts, secret_scan, toxicity, word_table
 from fallline.llm.queries import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -155,6 +155,24 @@ def test_filter_levels():
     assert (f.levels(rnd.integers(0, 1 << 48, 5000, dtype=np.uint64)) > 0).mean() < 0.15
 
 
+def test_weak_secrets_are_whole_runs(spark):
+    """Random keys of all lengths beside an account name: reported if and only if they hold all three classes, from end to end."""
+    rnd, low = random.Random(10), "abcdefghijklmnopqrstuvwxyz"
+    classes = [low, low.upper(), "0123456789", "+/"]
+    keys = ["".join(rnd.choice("".join(rnd.sample(classes, 3) if k % 4 == 0 else classes)) for _ in range(rnd.randint(17, 64))) + "=" * (k % 3) for k in range(400)]
+    keys += ["A" * 30 + "b" * 30 + "1", "1" + "a" * 30 + "B", "/" * 18 + "aB1", "aB1" + "z" * 16]
+    docs = spark.createDataFrame([(k, f"user: bob {x}, end") for k, x in enumerate(keys)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.secret_scan(docs).collect()}
+    texts = {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()}
+    for k, x in enumerate(keys):
+        run = x.rstrip("=")
+        if len(run) >= 20 and all(any(c in s for c in run) for s in classes[:3]):
+            assert got[k] == f"weak_id:0:9,weak_secret:10:{10 + len(x)}"
+            assert texts[k] == "<weak_id> <weak_secret>, end"
+        else:
+            assert got[k] == ""
+
+
 def test_top_k_prunes_exactly():
     rnd = np.random.default_rng(7)
     c = np.floor(rnd.normal(size=(500, 16)) * rnd.uniform(1, 90, (500, 1)))
