@@ -81,7 +81,9 @@ add("flt09_open_runs", "f_edges", lambda e: filters.open_runs(e).select("id", "n
 add("flt11_live_requests", "f_requests", lambda r: filters.live_requests(r, F.lit("1999-01-01").cast("timestamp")).select("id"), "SELECT id FROM f_requests WHERE status = 'pending' AND (expires_at IS NULL OR expires_at > TIMESTAMP '1999-01-01')")
 
 add("jn01_by_email", "f_profiles", lambda p: joins.by_email(p, p.where("id % 5 = 0").select(F.upper("email").alias("email"))).select("id", "email"), "SELECT id, email FROM f_profiles WHERE lower(email) IN (SELECT lower(upper(email)) FROM f_profiles WHERE id % 5 = 0)")
+add("jn01_by_contact_email", "f_profiles f_friendships", lambda p, f: joins.by_email(p, f.select(F.concat(F.lit("CUSTOMER#"), F.lpad(F.col("addressee_id").cast("string"), 9, "0"), F.lit("@MAIL.example")).alias("email"))).select("id", "email"), "SELECT id, email FROM f_profiles WHERE id IN (SELECT addressee_id FROM f_friendships)")
 add("jn02_by_phone", "f_profiles", lambda p: joins.by_phone(p, p.where("id % 7 = 0").select(F.concat(F.lit("(+)"), "phone").alias("phone"))).select("id"), r"SELECT id FROM f_profiles WHERE id % 7 = 0")
+add("jn02_by_contact_phone", "f_profiles f_friendships", lambda p, f: joins.by_phone(p, f.select(F.concat(F.lit("1.604-"), (1_000_000 + F.col("addressee_id")).cast("string")).alias("phone"))).select("id"), "SELECT id FROM f_profiles WHERE id IN (SELECT addressee_id FROM f_friendships)")
 add("jn03_friend_ids", "f_friendships", joins.friend_ids, f"SELECT * FROM (WITH {FRIENDS} SELECT * FROM fr)")
 add("jn04_friends", "f_profiles f_friendships", joins.friends_of, f"SELECT * FROM (WITH {FRIENDS} SELECT me, friend, display_name FROM fr JOIN f_profiles ON id = friend)")
 add("flt06_visible", "f_friendships f_blocks", joins.visible, f"SELECT * FROM (WITH {FRIENDS} SELECT me AS viewer, friend AS seen FROM fr WHERE NOT EXISTS (SELECT 1 FROM f_blocks b WHERE (b.blocker_id = me AND b.blockee_id = friend) OR (b.blocker_id = friend AND b.blockee_id = me)))")
@@ -98,6 +100,8 @@ add("jn12_every_crumb", "f_fixes", lambda x: windows.crumbs(x.select(F.col("even
 SELECT q.event_id AS id, b.event_id AS crumb FROM f_fixes q ASOF JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM f_fixes GROUP BY ALL) b ON q.user_id = b.user_id AND q.ts + INTERVAL 1 HOUR >= b.ts""")
 add("jn13_overlay", "f_edges f_names", lambda e, n: joins.edge_overlay(e, e.where("source % 13 = 0").select(F.col("id").alias("key"), F.lit("by id").alias("label")), n.where("id % 6 = 0").select(F.lower("official").alias("key")).distinct().withColumn("label", F.concat(F.lit("by name "), "key"))), """
 SELECT e.id, CASE WHEN source % 13 = 0 THEN 'by id' WHEN lower(e.name) IN (SELECT lower(official) FROM f_names WHERE id % 6 = 0) THEN 'by name ' || lower(e.name) END AS label FROM f_edges e""")
+add("jn13_whole_overlay", "f_edges f_names f_fixes", lambda e, n, x: joins.edge_overlay(e, x.select(F.concat(F.lit("t"), "event_id").alias("key"), F.lit("by id").alias("label")), n.select(F.lower("official").alias("key")).distinct().withColumn("label", F.concat(F.lit("by name "), "key"))), """
+SELECT id, CASE WHEN id IN (SELECT 't' || event_id FROM f_fixes) THEN 'by id' WHEN lower(name) IN (SELECT lower(official) FROM f_names) THEN 'by name ' || lower(name) END AS label FROM f_edges""")
 add("jn15_observation", "f_runs", lambda r: joins.observation(r.select("profile_id", "edge_id").where("edge_id IS NOT NULL").distinct().withColumn("conditions_fp", F.lit("R")), aggregates.edge_speeds(r, as_of()).where("resort_id = 'r1'")), f"""
 SELECT profile_id, edge_id, 'R' AS conditions_fp, fp AS used_fp, {R("speed")} AS speed_ms FROM (SELECT w.profile_id, w.edge_id, s.fp, s.speed, row_number() OVER (PARTITION BY w.profile_id, w.edge_id ORDER BY CASE s.fp WHEN 'R' THEN 0 WHEN 'default' THEN 1 ELSE 2 END, n DESC, s.fp) AS k
 FROM (SELECT DISTINCT profile_id, edge_id FROM f_runs WHERE edge_id IS NOT NULL) w LEFT JOIN (SELECT profile_id, edge_id, coalesce(conditions_fp, 'default') AS fp, count(*) AS n, sum(speed_ms * w) / sum(w) AS speed
@@ -170,7 +174,9 @@ SELECT id, {R("fmod(degrees(atan2(sin(radians(lon - -106.4)) * cos(radians(lat))
 add("math03_quantised", "f_nodes", lambda n: n.select("id", geo.quantised(F.col("elevation"), 10.0).alias("elevation")), "SELECT id, round(elevation / 10.0) * 10.0 AS elevation FROM f_nodes")
 
 add("snk02_insert_ignore", "f_runs", lambda r: filters.insert_ignore(r.where("run_id % 3 = 0").select("profile_id", "dedup_hash", "run_id").dropDuplicates(["profile_id", "dedup_hash"]).select("profile_id", "dedup_hash"), r.select("profile_id", "dedup_hash"), ["profile_id", "dedup_hash"]), "SELECT DISTINCT profile_id, dedup_hash FROM f_runs")
+add("snk02_whole_insert_ignore", "f_runs", lambda r: filters.insert_ignore(r.where("run_id % 2 = 0").groupBy("profile_id", "dedup_hash").agg(F.min("run_id").alias("run_id")), r.where("run_id % 2 <> 0").select("profile_id", "dedup_hash", "run_id"), ["profile_id", "dedup_hash"]), "SELECT profile_id, dedup_hash, coalesce(min(run_id) FILTER (run_id % 2 = 0), min(run_id)) AS run_id FROM f_runs GROUP BY profile_id, dedup_hash")
 add("snk03_upsert", "f_fixes", lambda x: filters.upsert(x.where("event_id % 2 = 0").select("user_id", "event_id"), x.where("event_id % 5 = 0").select("user_id", "event_id"), ["user_id"], -F.col("event_id")), "SELECT user_id, event_id FROM (SELECT user_id, event_id, 0 AS n FROM f_fixes WHERE event_id % 2 = 0 UNION ALL SELECT user_id, event_id, 1 FROM f_fixes WHERE event_id % 5 = 0) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_id DESC) = 1")
+add("snk03_whole_upsert", "f_fixes", lambda x: filters.upsert(x.where("event_id % 2 = 0").select("user_id", "event_id"), x.where("event_id % 2 <> 0").select("user_id", "event_id"), ["user_id"], -F.col("event_id")), "SELECT user_id, coalesce(max(event_id) FILTER (event_id % 2 <> 0), max(event_id)) AS event_id FROM f_fixes GROUP BY user_id")
 add("snk07_expired", "f_requests", lambda r: filters.expired(r, F.lit("1999-01-01").cast("timestamp")).select("id", "status"), "SELECT id, CASE WHEN status = 'pending' AND expires_at <= TIMESTAMP '1999-01-01' THEN 'expired' ELSE status END AS status FROM f_requests")
 add("snk08_illegal", "f_requests", lambda r: filters.illegal(r, r.withColumn("status", F.when(F.col("id") % 2 == 0, "accepted").otherwise("declined"))), "SELECT id, status AS was, s AS status FROM (SELECT id, status, CASE WHEN id % 2 = 0 THEN 'accepted' ELSE 'declined' END AS s FROM f_requests) WHERE status <> s AND NOT (status = 'pending')")
 add("snk14_next_version", "f_edges", lambda e: filters.next_version(e.select("trail_group", F.col("source").alias("version")), "trail_group"), "SELECT trail_group, max(source) + 1 AS version FROM f_edges GROUP BY ALL")
