@@ -83,11 +83,15 @@ def edge_overlay(edges: DataFrame, by_id: DataFrame, by_name: DataFrame) -> Data
 
 
 def observation(wanted: DataFrame, speeds: DataFrame) -> DataFrame:
-    """The speed of each wanted (profile_id, edge_id, conditions_fp): exact conditions, else the default, else the most observed."""
-    s = speeds.select("profile_id", "edge_id", F.col("conditions_fp").alias("fp"), "rolling_speed_ms", "observation_count")
+    """The speed of each wanted (profile_id, resort_id, edge_id, conditions_fp): exact conditions, else the default, else the most observed.
+
+    Without a resort_id in wanted, speeds has to be of one resort.
+    """
+    at = [c for c in ("profile_id", "resort_id", "edge_id") if c in wanted.columns]
+    s = speeds.select(*at, F.col("conditions_fp").alias("fp"), "rolling_speed_ms", "observation_count")
     rank = F.when(F.col("fp") == F.col("conditions_fp"), 0).when(F.col("fp") == "default", 1).otherwise(2)
     best = F.min_by(F.struct("fp", "rolling_speed_ms"), F.struct(rank, -F.col("observation_count"), "fp"))
-    out = wanted.join(s, ["profile_id", "edge_id"], "left").groupBy(*wanted.columns).agg(best.alias("x"))
+    out = wanted.join(s, at, "left").groupBy(*wanted.columns).agg(best.alias("x"))
     return out.select(*wanted.columns, F.col("x.fp").alias("used_fp"), F.col("x.rolling_speed_ms").alias("speed_ms"))
 
 

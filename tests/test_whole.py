@@ -2,7 +2,9 @@
 
 import random
 
-from fallline.operators import filters
+from pyspark.sql import functions as F
+
+from fallline.operators import filters, joins
 
 
 def test_reachable_has_no_hop_bound(spark):
@@ -23,3 +25,10 @@ def test_reachable_has_no_hop_bound(spark):
     assert len(got) == len(want)
     assert {(r.person, r.node): r.metres for r in got} == want
     assert want[1, 9] == 9.0 and want[1, 12] == 12.0
+
+
+def test_observation_keeps_resorts_apart(spark):
+    speeds = spark.createDataFrame([(1, "r0", "e1", "R", 5.0, 9), (1, "r1", "e1", "R", 7.0, 2), (1, "r2", "e1", "default", 3.0, 4)], "profile_id int, resort_id string, edge_id string, conditions_fp string, rolling_speed_ms double, observation_count int")
+    wanted = speeds.select("profile_id", "resort_id", "edge_id").withColumn("conditions_fp", F.lit("R"))
+    got = {r.resort_id: (r.used_fp, r.speed_ms) for r in joins.observation(wanted, speeds).collect()}
+    assert got == {"r0": ("R", 5.0), "r1": ("R", 7.0), "r2": ("default", 3.0)}
