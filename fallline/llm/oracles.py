@@ -29,13 +29,14 @@ lev AS (
 cum AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY level, lang, source, measure) AS docs FROM lev),
 q AS (
-  SELECT level, lang, source, measure, max(docs) AS docs, min(bucket) FILTER (100 * seen >= 25 * docs) AS q1, min(bucket) FILTER (100 * seen >= 75 * docs) AS q3 FROM cum GROUP BY ALL),
-s AS (SELECT * FROM (VALUES ('symbols', 34), ('dup_lines', 180), ('repeats', 130), ('word_length', 1000)) t(measure, spread)),
-fe AS (SELECT level, lang, source, measure, docs, q1 - 3 * greatest(q3 - q1, spread) AS lo, q3 + 3 * greatest(q3 - q1, spread) AS hi FROM q JOIN s USING (measure)),
+  SELECT level, lang, source, measure, max(docs) AS docs, min(bucket) FILTER (100 * seen >= 10 * docs) AS q10,
+         min(bucket) FILTER (100 * seen >= 50 * docs) AS q50, min(bucket) FILTER (100 * seen >= 90 * docs) AS q90 FROM cum GROUP BY ALL),
+s AS (SELECT * FROM (VALUES ('symbols', 20), ('dup_lines', 80), ('repeats', 10), ('word_length', 100)) t(measure, spread)),
+fe AS (SELECT level, lang, source, measure, docs, q50 - 6 * greatest(q50 - q10, spread) AS lo, q50 + 6 * greatest(q90 - q50, spread) AS hi FROM q JOIN s USING (measure)),
 lim AS (
   SELECT a.lang, a.source, a.measure,
-         CASE WHEN a.docs >= 200 THEN a.lo WHEN b.docs >= 200 THEN b.lo ELSE c.lo END AS lo,
-         CASE WHEN a.docs >= 200 THEN a.hi WHEN b.docs >= 200 THEN b.hi ELSE c.hi END AS hi
+         CASE WHEN a.docs >= 50 THEN a.lo WHEN b.docs >= 50 THEN b.lo ELSE c.lo END AS lo,
+         CASE WHEN a.docs >= 50 THEN a.hi WHEN b.docs >= 50 THEN b.hi ELSE c.hi END AS hi
   FROM fe a JOIN fe b ON b.level = 2 AND a.lang = b.lang AND a.measure = b.measure JOIN fe c ON c.level = 3 AND a.measure = c.measure WHERE a.level = 1),
 bad AS (
   SELECT DISTINCT r FROM f JOIN lim ON coalesce(f.lang, chr(0)) = lim.lang AND coalesce(f.source, chr(0)) = lim.source
@@ -44,6 +45,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def mixed_run() -> str:
+    """secret_scan.MIXED_RUN for an engine without look-around, which needs no care for its time.
+
+    The classes seen so far decide what may follow, so that a run is read in one way only.
+    """
+    kinds = {"A-Z", "a-z", "0-9"}
+
+    def rest(seen: frozenset[str]) -> str:
+        if seen == kinds:
+            return "[A-Za-z0-9+/]*"
+        return f"[{''.join(sorted(seen))}+/]*(?:{'|'.join(f'[{k}]' + rest(seen | {k}) for k in sorted(kinds - seen))})"
+
+    return f"({rest(frozenset())})={{0,2}}"
+
+
 def _spans(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
     p = pattern.replace("'", "''")
     return f"""
@@ -59,7 +75,7 @@ def _spans(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
 def secret_scan() -> str:
     from .secret_scan import CLASSES, COMPLEMENTS, SCOPE, STRONG, WEAK
 
-    every = STRONG | WEAK
+    every = STRONG | WEAK | {"weak_secret": (mixed_run(), *WEAK["weak_secret"][1:])}
     made = "\n  UNION ALL".join(_spans(k, i, *v) for i, (k, v) in enumerate(every.items()))
     classes = ", ".join(f"('{k}', '{v}')" for k, v in CLASSES.items())
     pairs = ", ".join(f"('{a}', '{b}')" for a, b in COMPLEMENTS)

@@ -5,8 +5,11 @@ come from quantile sketches: a measure, a whole number per thousand, falls into
 its leading seven bits, and a sketch is the count of each bucket. Counts add up, so sketches of a
 (language, source) merge into those of the language and of the whole, and a quantile is off by less
 than one part in 64. A group with few documents takes its language's thresholds, and a language with
-few those of all. A document is rejected where a measure lies beyond the quartiles by more than
-`fence` times their distance, which counts as `spread` at least.
+few those of all. A document is rejected where a measure lies beyond the median by more than `fence`
+times the distance from there to the upper (or lower) decile of its group. A tenth of a group may be
+junk without moving its thresholds. The distance counts as SPREAD at least, which is far below what
+ordinary text shows: it decides only where a sketch is degenerate, nearly all of its values being
+one, as the shares of symbols and of repeated lines are in most groups.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ from pyspark.sql import functions as F
 from . import common
 
 MEASURES = ("symbols", "dup_lines", "repeats", "word_length")
-#: The least distance of quartiles for each measure, per thousand.
-SPREAD = {"symbols": 34, "dup_lines": 180, "repeats": 130, "word_length": 1000}
-FENCE = 3
-LEAST_DOCS = 200
+#: The distance from the median to a decile in a degenerate sketch of each measure, per thousand.
+SPREAD = {"symbols": 20, "dup_lines": 80, "repeats": 10, "word_length": 100}
+FENCE = 6
+LEAST_DOCS = 50
 MIN_WORDS = 50
 #: Groups whose thresholds are broadcast; with more, documents are joined by a shuffle.
 BROADCAST_GROUPS = 50_000
@@ -121,11 +124,12 @@ def fences(sketch: DataFrame, *keys: str, fence: int = FENCE) -> DataFrame:
         step = lambda acc, x: F.struct((acc.seen + x.n).alias("seen"), F.when(acc["at"].isNull() & (100 * (acc.seen + x.n) >= percent * F.col("docs")), x.bucket).otherwise(acc["at"]).alias("at"))
         return F.aggregate("b", start, step, lambda acc: acc["at"])
 
-    spread = F.create_map(*(F.lit(x) for kv in SPREAD.items() for x in kv))
-    q = listed.select(*keys, "measure", "docs", quantile(25).alias("q1"), quantile(75).alias("q3"))
-    q = q.withColumn("iqr", F.greatest(F.col("q3") - F.col("q1"), spread[F.col("measure")].cast("long")))
-    as_map = lambda c: F.map_from_entries(F.collect_list(F.struct("measure", c)))
-    return q.groupBy(*keys).agg(F.max("docs").alias("docs"), as_map((F.col("q1") - fence * F.col("iqr")).alias("v")).alias("low"), as_map((F.col("q3") + fence * F.col("iqr")).alias("v")).alias("high"))
+    spread = F.create_map(*(F.lit(x) for kv in SPREAD.items() for x in kv))[F.col("measure")].cast("long")
+    q = listed.select(*keys, "measure", "docs", quantile(10).alias("q10"), quantile(50).alias("q50"), quantile(90).alias("q90"))
+    low = F.col("q50") - fence * F.greatest(F.col("q50") - F.col("q10"), spread)
+    high = F.col("q50") + fence * F.greatest(F.col("q90") - F.col("q50"), spread)
+    as_map = lambda c: F.map_from_entries(F.collect_list(F.struct("measure", c.alias("v"))))
+    return q.groupBy(*keys).agg(F.max("docs").alias("docs"), as_map(low).alias("low"), as_map(high).alias("high"))
 
 
 def thresholds(rows: DataFrame, least: int = LEAST_DOCS, fence: int = FENCE) -> DataFrame:
@@ -171,7 +175,9 @@ def quality_rules(docs: DataFrame, least: int = LEAST_DOCS, fence: int = FENCE)
 
 
 def keep_good(docs: DataFrame, least: int = LEAST_DOCS, fence: int = FENCE) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs, whatever their names."""
-    rows = measured(docs.select("text", "lang", "source", common.whole_rows(docs)))
-    limits = thresholds(rows.select("lang", "source", "rule_base"), least, fence)
-    return judged(rows, limits).where("rule_kept").select("row__.*")
+    """The rows of docs that the rules keep, with the columns of docs, whatever their names.
+
+    The rows go to the checkpoint folder with their measures, which are taken once.
+    """
+    rows = common.checkpointed(measured(docs.select("text", "lang", "source", common.whole_rows(docs))).select("row__", "lang", "source", "rule_base"))
+    return judged(rows, thresholds(rows.select("lang", "source", "rule_base"), least, fence)).where("rule_kept").select("row__.*")

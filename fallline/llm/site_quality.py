@@ -1,11 +1,16 @@
 """Document quality by hierarchical empirical Bayes over sites.
 
 A logistic model of a text's measures, fitted on a bounded sample of labelled rows, gives each
-document evidence. Sites add to it: the documents' probabilities are summed up by host (the source)
-and by path (the source and language), all documents taking part. A host's posterior is its mean
-shrunk toward the global mean, a path's its own shrunk toward its host's; how strongly, follows from
-how much the means of hosts, and of paths within them, vary. A document's log-odds are its evidence
-and the log-odds by which its path departs from the global mean.
+document evidence. Sites add to it: the documents' probabilities are summed up by host and by path,
+all documents taking part. Documents carry no address; the host is their source, the one column that
+says where they come from, and the path its part in one language, the finest division they name.
+
+A host's posterior is its mean shrunk toward the global mean, a path's its own shrunk toward its
+host's, each by n / (n + k) with k = within / between: the variance of documents within paths over
+that of the true means of hosts (of paths within their host). Both come from grouped sums by the
+moments of an unbalanced one-way layout, so large sites weigh as much as their documents do and what
+sparse sites vary by chance is not taken for a difference between sites. A document's log-odds are
+its evidence and the log-odds by which its path departs from the global mean.
 """
 
 from __future__ import annotations
@@ -22,6 +27,9 @@ from . import common
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.5
 BROADCAST_GROUPS = 50_000
+#: Least and largest number of documents that a prior counts for.
+MIN_WEIGHT = 2.0
+MAX_WEIGHT = 1e6
 CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "symbol": b"#*$%&|<>", "mark": b"!?", "stop": b".,;:", "blank": b" \t\n\x0b\x0c\r", "other": range(128, 256)}
 _MASKS = np.array([[i in set(x) for i in range(256)] for x in CLASSES.values()], float)
 
@@ -72,7 +80,8 @@ def trained(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: i
         yield from common.batches_of(made(), schema)
 
     sample = F.broadcast(labelled_sample(labels, column, rows))  # of at most `rows` rows
-    got = common.documents(docs).join(sample, F.col("doc_id") == F.col("id")).select("y", "text").mapInArrow(run, "y int, x array<double>").collect()
+    held = common.documents(docs).join(sample, F.col("doc_id") == F.col("id")).groupBy("id").agg(F.first("y").alias("y"), F.min("text").alias("text"))  # one row for each label
+    got = held.select("y", "text").mapInArrow(run, "y int, x array<double>").collect()
     got.sort(key=lambda r: (r.y, r.x))
     return fit(np.array([r.x for r in got]).reshape(len(got), len(measures(b""))), np.array([r.y for r in got]))
 
@@ -96,24 +105,34 @@ def logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def strength(mean: Column, variance: Column) -> Column:
-    """Documents that a prior counts for, by the moments of a beta distribution."""
-    return F.least(F.greatest(mean * (1 - mean) / F.greatest(variance, F.lit(1e-9)) - 1, F.lit(2.0)), F.lit(1e6))
+def prior_weight(within: Column, between: Column) -> Column:
+    """How many documents a prior counts for; where the means differ by no more than chance, a million."""
+    return F.when(between > 0, F.least(F.greatest(within / between, F.lit(MIN_WEIGHT)), F.lit(MAX_WEIGHT))).otherwise(F.lit(MAX_WEIGHT))
 
 
 def site_priors(scored: DataFrame) -> DataFrame:
     """(host, path) -> shift, the log-odds by which the path departs from the mean of all."""
     p = 1 / (1 + F.exp(-F.col("evidence")))
-    paths = common.checkpointed(scored.groupBy(F.col("source").alias("host"), F.col("lang").alias("path")).agg(F.count("*").alias("n"), F.sum(p).alias("s")))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    mean = F.col("s") / F.col("n")
-    of_all = hosts.agg((F.sum("hs") / F.sum("hn")).alias("mu"), F.coalesce(F.var_pop(F.col("hs") / F.col("hn")), F.lit(0.0)).alias("hv"))
-    within = paths.alias("a").join(hosts.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host"))).agg(F.coalesce(F.avg((mean - F.col("hs") / F.col("hn")) ** 2), F.lit(0.0)).alias("pv"))
-    one = F.broadcast(of_all.join(within))  # one row
-    host = hosts.join(one).select(F.col("host").alias("h"), "mu", "pv", ((F.col("hs") + strength(F.col("mu"), F.col("hv")) * F.col("mu")) / (F.col("hn") + strength(F.col("mu"), F.col("hv")))).alias("hp"))
+    paths = common.checkpointed(scored.groupBy(F.col("source").alias("host"), F.col("lang").alias("path")).agg(F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("s2")))
+    square = F.col("s") * F.col("s") / F.col("n")  # n times the squared mean
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("s2").alias("hs2"), F.count("*").alias("hp"), F.sum(square).alias("hq"), F.sum(F.col("n") * F.col("n")).alias("hnn"))
+    own = F.col("hs") * F.col("hs") / F.col("hn")
+    total = hosts.agg(
+        F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.count("*").alias("hosts"), F.sum("hp").alias("paths"), F.sum(F.col("hs2") - F.col("hq")).alias("rest"),
+        F.sum(F.col("hq") - own).alias("of_paths"), F.sum(own).alias("q"), F.sum(F.col("hnn") / F.col("hn")).alias("path_share"), F.sum(F.col("hn") * F.col("hn")).alias("nn"),
+    )
+    over = lambda x, y: F.when(y > 0, x / y).otherwise(F.lit(0.0))
+    n = F.col("n")
+    total = total.withColumn("mu", over(F.col("s"), n)).withColumn("within", over(F.col("rest"), n - F.col("paths")))
+    total = total.withColumn("path_var", over(F.col("of_paths") - (F.col("paths") - F.col("hosts")) * F.col("within"), n - F.col("path_share")))
+    # What the means of hosts vary by beyond documents' and paths' own variance.
+    chance = (F.col("hosts") - 1) * F.col("within") + (F.col("path_share") - F.col("pnn") / n) * F.greatest(F.col("path_var"), F.lit(0.0))
+    of_paths = paths.agg(F.sum(F.col("n") * F.col("n")).alias("pnn"))
+    total = total.join(of_paths).withColumn("host_var", over(F.col("q") - n * F.col("mu") * F.col("mu") - chance, n - F.col("nn") / n))
+    one = F.broadcast(total.select("mu", prior_weight(F.col("within"), F.col("host_var")).alias("hk"), prior_weight(F.col("within"), F.col("path_var")).alias("pk")))  # one row
+    host = hosts.join(one).select(F.col("host").alias("h"), "mu", "pk", ((F.col("hs") + F.col("hk") * F.col("mu")) / (F.col("hn") + F.col("hk"))).alias("post_host"))
     both = paths.join(host, F.col("host").eqNullSafe(F.col("h")))
-    k = strength(F.col("mu"), F.col("pv"))
-    post = (F.col("s") + k * F.col("hp")) / (F.col("n") + k)
+    post = (F.col("s") + F.col("pk") * F.col("post_host")) / (F.col("n") + F.col("pk"))
     return common.checkpointed(both.select("host", "path", (logit(post) - logit(F.col("mu"))).alias("shift")))
 
 

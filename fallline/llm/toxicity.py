@@ -1,11 +1,16 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A clause runs through a cascade of transducers. The lexicon maps words to symbols: insults (by
-stem), threats, targets, negations, verbs of saying. The negation transducer turns an insult or
-threat shortly after a negation into a denied one, the reporting transducer one after a verb of
-saying or inside quotation marks into a reported one, and the pairing automaton joins an insult or a
-threat with a target of its clause. What leaves the cascade are matched clauses of a few kinds, and
-a logistic model over their weights gives the score. Isolated words are never counted: a word counts
+The lexicon maps the words of a clause to symbols: insults (by stem, in three grades), threats,
+targets, negations, verbs of saying, quotation marks. Three sequential transducers follow, each a
+table of arcs (state, symbol) -> (state, outputs, weight) and of ends:
+
+* negation rewrites an insult or threat shortly after a negation as denied;
+* reporting rewrites one after a verb of saying, or inside quotation marks, as reported;
+* pairing reads what the others leave, remembers the strongest insult, a threat and a target, and puts
+  out the kinds of matched clause at the end, the weight of the path being that of what was matched.
+
+They are composed once into one transducer, which is run over the clauses. A logistic model over the
+weights of matched clauses by kind gives the score. Isolated words are never counted: a word counts
 by the path it takes.
 
 Insult stems are a short fixed list and those that labels show: beginnings of words that are far more
@@ -17,7 +22,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -37,13 +43,19 @@ LEAST_ODDS = 3.0
 #: Words known beforehand.
 INSULTS = "idiot moron stupid scum loser pathetic worthless disgusting trash clown imbecile bastard idiota estúpid imbécil dumm abschaum verlierer connard ordure"
 THREATS = "kill destroy hurt beat burn shoot crush töten schlagen vernichten tuer détruire frapper matar destruir golpear"
-TARGETS = "you your yours he she they them him her his their this that these those du dich dein ihr euch sie tu toi vous ton ta votre elle ils tú usted ustedes ella ellos"
+TARGETS = "you your yours he she they them him her his their du dich dein ihr euch sie tu toi vous ton ta votre elle ils tú usted ustedes ella ellos"
 NEGATIONS = "not no never neither nor without nicht kein keine nie pas jamais ni sin nunca tampoco"
 SAYING = "said says say claimed called quoted reported wrote replied sagte sagt nannte schrieb dit disait écrit dijo dice escribió"
 WORD = re.compile(r"[^\W\d_]+|[\"“”«»]")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 NEAR = 4
 KINDS = ("insult", "insult_target", "threat_target", "denied", "reported")
+#: The least log-odds of the stems of each grade of insults, and what a clause with such an insult weighs.
+GRADES = {"insult1": LEAST_ODDS, "insult2": 4.0, "insult3": 5.0}
+THREAT_WEIGHT = 1.0
+ASIDE_WEIGHT = 1.0
+SYMBOLS = ("word", "target", "neg", "say", "quote", "threat", *GRADES)
+REWRITTEN = ("denied", "reported")
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -51,72 +63,151 @@ def held_out(doc_id: int | None) -> bool:
 
 
 class Lexicon:
-    """Words to symbols, an insult with its stem's weight."""
+    """Words to symbols; `heads` finds the clauses that can match at all."""
 
     def __init__(self, stems: dict[str, float]):
-        self.stems = dict.fromkeys(INSULTS.split(), 3.0) | stems
+        self.stems = dict.fromkeys(INSULTS.split(), LEAST_ODDS) | stems
         self.fixed = {w: s for s, ws in (("say", SAYING), ("neg", NEGATIONS), ("target", TARGETS), ("threat", THREATS)) for w in ws.split()}
         self.fixed |= dict.fromkeys("\"“”«»", "quote")
         heads = sorted({*self.stems, *THREATS.split()}, key=len)
         self.heads = re.compile(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, heads)) + ")")
         self.longest = max(map(len, self.stems))
 
-    def symbol(self, word: str) -> tuple[str, float]:
+    def symbol(self, word: str) -> str:
         if kind := self.fixed.get(word):
-            return kind, 1.0
+            return kind
         for k in range(min(len(word), self.longest), 2, -1):
-            if word[:k] in self.stems:
-                return "insult", self.stems[word[:k]]
-        return "word", 0.0
-
-
-def negation(symbols: Iterator[tuple[str, float]]) -> Iterator[tuple[str, float]]:
-    """State: how many words ago a negation stood."""
-    since = NEAR + 1
-    for s, w in symbols:
-        since = 0 if s == "neg" else since + 1
-        yield ("denied", w) if s in ("insult", "threat") and since <= NEAR else (s, w)
-
-
-def reporting(symbols: Iterator[tuple[str, float]]) -> Iterator[tuple[str, float]]:
-    """State: whether a verb of saying stood before, or a quotation mark is open."""
-    said = quoted = False
-    for s, w in symbols:
-        said, quoted = said or s == "say", quoted != (s == "quote")
-        yield ("reported", w) if s in ("insult", "threat") and (said or quoted) else (s, w)
-
-
-def pairing(symbols: Iterator[tuple[str, float]]) -> Iterator[tuple[str, float]]:
-    """State: the strongest insult, the threats so far and whether a target was met; leaves at the end."""
-    best: dict[str, float] = {}
-    for s, w in symbols:
-        if s != "word":
-            best[s] = max(best.get(s, 0.0), w)
-    target = "target" in best
-    if "insult" in best:
-        yield ("insult_target" if target else "insult"), best["insult"]
-    if "threat" in best and target:
-        yield "threat_target", best["threat"]
-    for s in ("denied", "reported"):
-        if s in best:
-            yield s, best[s]
+            if (odds := self.stems.get(word[:k])) is not None:
+                return max((g for g, least in GRADES.items() if odds >= least), default="insult1")
+        return "word"
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A sequential transducer with additive weights.
+
+    arcs: (state, symbol) -> (state, outputs, weight). ends: state -> (outputs, weight).
+    """
+
+    start: Hashable
+    arcs: dict[tuple[Hashable, str], tuple[Hashable, tuple[str, ...], float]]
+    ends: dict[Hashable, tuple[tuple[str, ...], float]]
+
+    def read(self, state: Hashable, symbols: Iterable[str]) -> tuple[Hashable, tuple[str, ...], float]:
+        """The state after symbols, and what is put out and weighed on the way."""
+        out: tuple[str, ...] = ()
+        weight = 0.0
+        for s in symbols:
+            state, made, w = self.arcs[state, s]
+            out, weight = out + made, weight + w
+        return state, out, weight
+
+    def run(self, symbols: Iterable[str]) -> tuple[tuple[str, ...], float]:
+        state, out, weight = self.read(self.start, symbols)
+        made, w = self.ends[state]
+        return out + made, weight + w
+
+
+def tabulated(start: Hashable, symbols: Iterable[str], step: Callable, end: Callable) -> Transducer:
+    """The transducer of all states that step(state, symbol) -> (state, outputs, weight) reaches from start."""
+    arcs, ends, todo, symbols = {}, {}, [start], list(symbols)
+    while todo:
+        state = todo.pop()
+        ends[state] = end(state)
+        for s in symbols:
+            arcs[state, s] = step(state, s)
+            if (to := arcs[state, s][0]) not in ends and to not in todo:
+                todo.append(to)
+    return Transducer(start, arcs, ends)
+
+
+def composed(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer that does what second does with what first puts out."""
+
+    def step(state: tuple, symbol: str) -> tuple:
+        to, out, w = first.arcs[state[0], symbol]
+        to2, out2, w2 = second.read(state[1], out)
+        return (to, to2), out2, w + w2
+
+    def end(state: tuple) -> tuple:
+        out, w = first.ends[state[0]]
+        to2, out2, w2 = second.read(state[1], out)
+        last, w3 = second.ends[to2]
+        return out2 + last, w + w2 + w3
+
+    return tabulated((first.start, second.start), dict.fromkeys(s for _, s in first.arcs), step, end)
+
+
+def attack(symbol: str) -> bool:
+    return symbol == "threat" or symbol in GRADES
+
+
+def silent(state: Hashable) -> tuple[tuple[str, ...], float]:
+    return (), 0.0
+
+
+def negation(near: int = NEAR) -> Transducer:
+    """States: how many words ago a negation stood, up to near + 1 for none."""
+
+    def step(since: int, s: str) -> tuple:
+        now = 0 if s == "neg" else min(since + 1, near + 1)
+        return now, ("denied",) if attack(s) and now <= near else (s,), 0.0
+
+    return tabulated(near + 1, SYMBOLS, step, silent)
+
+
+def reporting() -> Transducer:
+    """States: whether a verb of saying stood before, and whether a quotation mark is open."""
+
+    def step(state: tuple[bool, bool], s: str) -> tuple:
+        said, quoted = state[0] or s == "say", state[1] != (s == "quote")
+        return (said, quoted), ("reported",) if attack(s) and (said or quoted) else (s,), 0.0
+
+    return tabulated((False, False), (*SYMBOLS, "denied"), step, silent)
+
+
+def pairing() -> Transducer:
+    """States: the grade of the strongest insult (0: none), whether a threat and a target were met, and what was denied or reported."""
+    grades = list(GRADES)
+
+    def step(state: tuple, s: str) -> tuple:
+        grade, threat, target, aside = state
+        if s in GRADES and (new := grades.index(s) + 1) > grade:
+            return (new, threat, target, aside), (), GRADES[s] - (GRADES[grades[grade - 1]] if grade else 0.0)
+        if s == "threat" and not threat:
+            return (grade, True, target, aside), (), THREAT_WEIGHT
+        if s in REWRITTEN and s not in aside:
+            return (grade, threat, target, tuple(sorted({*aside, s}))), (), ASIDE_WEIGHT
+        return (grade, threat, target or s == "target", aside), (), 0.0
+
+    def end(state: tuple) -> tuple:
+        grade, threat, target, aside = state
+        kinds = [("insult_target" if target else "insult")] if grade else []
+        kinds += ["threat_target"] if threat and target else []
+        return (*kinds, *aside), 0.0
+
+    return tabulated((0, False, False, ()), (*SYMBOLS, *REWRITTEN), step, end)
+
+
+@lru_cache(maxsize=1)
+def grammar() -> Transducer:
+    return composed(composed(negation(), reporting()), pairing())
 
 
 def clauses(text: str, lexicon: Lexicon) -> np.ndarray:
     """Weights of matched clauses by kind: constant, sum and presence of each."""
     low, sums, seen = text.lower(), dict.fromkeys(KINDS, 0.0), 0
-    bounds = None
+    ends, run = None, grammar().run
     for m in lexicon.heads.finditer(low):
         if m.start() < seen:
             continue  # its clause has been matched
-        if bounds is None:
-            bounds = [x.end() for x in CLAUSE.finditer(low)]
-            ends = np.array([*bounds, len(low)])
+        if ends is None:
+            ends = np.array([*(x.end() for x in CLAUSE.finditer(low)), len(low)])
         k = int(np.searchsorted(ends, m.start(), side="right"))
         start, seen = (int(ends[k - 1]) if k else 0), int(ends[min(k, len(ends) - 1)])
-        symbols = (lexicon.symbol(x) for x in WORD.findall(low[start:seen]))
-        for kind, w in pairing(reporting(negation(symbols))):
-            sums[kind] += w
+        kinds, weight = run(map(lexicon.symbol, WORD.findall(low[start:seen])))
+        for kind in kinds:
+            sums[kind] += weight
     values = np.array(list(sums.values()))
     return np.array([1.0, *np.log1p(values), *(values > 0)])
 
@@ -166,7 +257,8 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Mode
     common.ship(docs.sparkSession)
     learn = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) != FOLD
     few = F.broadcast(labelled_sample(labels.where(learn), "toxic", rows))  # of at most `rows` rows
-    sample = common.checkpointed(common.documents(docs).join(few, F.col("doc_id") == F.col("id")).select("doc_id", "y", "text"))
+    held = common.documents(docs).join(few, F.col("doc_id") == F.col("id")).groupBy("doc_id")  # one row for each label
+    sample = common.checkpointed(held.agg(F.first("y").alias("y"), F.min("text").alias("text")))
     stems = learnt_stems(sample.select("y", "text"))
     known = tuple(stems.items())
     schema = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))])
