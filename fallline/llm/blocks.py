@@ -46,7 +46,8 @@ def word_hash(word: bytes) -> int:
 
 
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+    """The part of each hash: a part is a range of hashes."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
 
 
 class Block:
@@ -60,7 +61,7 @@ class Block:
         digest = xxhash.xxh3_64()
         for doc_id, text in self.rows:
             digest.update(struct.pack("<qI", -(2**63) if doc_id is None else doc_id, len(text)))
-            digest.update(text[:64])
+            digest.update(text)
         return digest.intdigest() - 2**63
 
     def packed(self) -> bytes:
@@ -94,18 +95,17 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterat
         yield Block(number, held)
 
 
-def in_parts(words: list[bytes], parts: int) -> list[tuple[int, list[bytes]]]:
-    """Distinct words as sorted lists by part: the order both sides of the exchange agree on."""
-    words = sorted(words)
+def in_parts(words: list[bytes], parts: int) -> list[tuple[int, np.ndarray]]:
+    """Distinct words by part: the indices of each part's words, in the order both sides of the exchange agree on.
+
+    That is the order of hashes; words with one hash keep the order of their first occurrence, which
+    is the same whenever the block is read.
+    """
     hashes = np.fromiter(map(word_hash, words), np.uint64, len(words))
-    part = part_of(hashes, parts)
-    out: list[tuple[int, list[bytes]]] = []
-    order = np.argsort(part, kind="stable")
-    at = np.flatnonzero(np.diff(part[order])) + 1
-    for k in np.split(order, at):
-        if len(k):
-            out.append((int(part[k[0]]), [words[i] for i in k.tolist()]))
-    return out
+    order = np.argsort(hashes, kind="stable")
+    part = part_of(hashes[order], parts)
+    at = np.flatnonzero(np.diff(part)) + 1
+    return [(int(part[0 if not k else at[k - 1]]), x) for k, x in enumerate(np.split(order, at)) if len(x)]
 
 
 def pack_words(words: list[bytes], extra: bytes = b"") -> bytes:
@@ -121,48 +121,66 @@ def unpack_words(data: bytes) -> tuple[list[bytes], bytes]:
     return words, raw[8 + size :]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, list[tuple[int, int, int, bytes]]]]:
+    """Rows (block, part, mark, data) of sorted batches, those of one block or part at a time."""
+    now, held = None, []
+    for batch in batches:
+        keys = batch.column(by).to_pylist()
+        for key, row in zip(keys, zip(*(batch.column(k).to_pylist() for k in ARROW.names), strict=True), strict=True):
+            if key != now:
+                if held:
+                    yield now, held
+                now, held = key, []
+            held.append(row)
+    if held:
+        yield now, held
+
+
 def answers(docs: DataFrame, parts: int, send: Callable[[Block], Iterator[tuple[int, bytes]]], answer: Callable[[list[tuple[int, bytes]]], Iterator[bytes]]) -> DataFrame:
     """Rows (block, part, mark, data): what each part of the vocabulary says to each block.
 
     send: a block's lists by part. answer: from all lists of one part, in any order, the data for each.
+    Each part has a partition of its own.
     """
     common.ship(docs.sparkSession)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from common.batches_of(((b.number, part, b.mark, data) for b in blocks(batches) for part, data in send(b)), ARROW, 256)
 
-    def answered(table: pa.Table) -> pa.Table:
-        numbers = table.column("block").to_pylist()
-        data = [x.as_py() for x in table.column("data")]
-        out = list(answer(list(zip(numbers, data, strict=True))))
-        return pa.Table.from_arrays([table.column("block"), table.column("part"), table.column("mark"), pa.array(out, pa.binary())], schema=ARROW)
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> Iterator[tuple]:
+            for part, rows in gathered(batches, "part"):
+                for (number, _, mark, _), data in zip(rows, answer([(r[0], r[3]) for r in rows]), strict=True):
+                    yield number, part, mark, data
+
+        yield from common.batches_of(made(), ARROW, 256)
 
     lists = common.documents(docs).mapInArrow(sent, SCHEMA)
-    return lists.repartition(parts, "part").groupBy("part").applyInArrow(answered, SCHEMA)
+    return lists.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "block").mapInArrow(answered, SCHEMA)
+
 
+def finished(docs: DataFrame, told: DataFrame, finish: Callable[[list[tuple[int | None, bytes]], dict[int, bytes]], Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """finish(rows, {part: data}) for each block, with what the parts told it.
 
-def finished(docs: DataFrame, told: DataFrame, parts: int, finish: Callable[[list[tuple[int | None, bytes]], dict[int, bytes]], Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
-    """finish(rows, {part: data}) for each block, with what the parts told it."""
+    The blocks of one input partition meet their answers in one partition, as evenly as they were read.
+    """
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from common.batches_of(((b.number, DOCS, b.mark, b.packed()) for b in blocks(batches)), ARROW, 16)
 
-    def done(table: pa.Table) -> pa.Table:
-        part = table.column("part").to_pylist()
-        if DOCS not in part or len(set(table.column("mark").to_pylist())) != 1:
-            raise RuntimeError("the documents came in another order when read again; checkpoint them first")
-        rows, data = [], {}
-        for k, x in enumerate(table.column("data")):
-            if part[k] == DOCS:
-                rows = Block.unpacked(x.as_py())
-            else:
-                data[part[k]] = x.as_py()
-        made = list(finish(rows, data))
-        cols = zip(*made, strict=True) if made else [[] for _ in schema]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-
-    texts = common.documents(docs).mapInArrow(own, SCHEMA)
-    return texts.unionByName(told).repartition(parts, "block").groupBy("block").applyInArrow(done, ddl)
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> Iterator[tuple]:
+            for _, rows in gathered(batches, "block"):
+                data = {part: x for _, part, _, x in rows}
+                if DOCS not in data or len({mark for _, _, mark, _ in rows}) != 1:
+                    raise RuntimeError("the documents came in another order when read again; checkpoint them first")
+                yield from finish(Block.unpacked(data.pop(DOCS)), data)
+
+        yield from common.batches_of(made(), schema)
+
+    texts = common.documents(docs).mapInArrow(own, SCHEMA).unionByName(told)
+    home = F.call_function("shiftright", F.col("block"), F.lit(32)).cast("int")
+    return texts.repartitionById(common.input_partitions(docs), home).sortWithinPartitions("block", "part").mapInArrow(done, ddl)
 
 
 def parts_for(docs: DataFrame) -> int:

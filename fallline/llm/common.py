@@ -8,7 +8,9 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +41,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the session names. Only where it names none, as in local tests, a temporary one."""
+    """The shared folder the session names. Where it names none a temporary one, which only a local master can share."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not (sc.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="fallline-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -72,6 +76,21 @@ def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]
             yield doc_id, text.as_py() or b""
 
 
+def split_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The words of texts: how many each has, their numbers in order, and the distinct words that these number.
+
+    Words are split at ASCII white space; `lower` changes A-Z alone.
+    """
+    col = pa.array(texts, pa.large_binary()).cast(pa.large_string())
+    split = pc.ascii_split_whitespace(pc.ascii_lower(col) if lower else col)
+    flat, ends = split.flatten(), split.offsets.to_numpy()
+    some = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at an end of a text leaves an empty word
+    if not some.all():
+        flat, ends = flat.filter(pa.array(some)), np.concatenate([[0], some.cumsum()])[ends - ends[0]]
+    coded = flat.dictionary_encode()
+    return np.diff(ends), coded.indices.to_numpy(), coded.dictionary.cast(pa.large_binary()).to_pylist()
+
+
 def batches_of(made: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
     """Rows as Arrow batches of at most `size` rows and about 32 MB of strings and bytes."""
     held: list[tuple] = []

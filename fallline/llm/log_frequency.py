@@ -1,14 +1,20 @@
-"""Scoring of texts with a language model held in a log-frequency Bloom filter.
-
-Word counts are exact: they come from the vocabulary join by blocks. Bigram counts are quantised to
-the logarithm, level 1 + floor(log_1.5 count), and a bigram of level q is put into a Bloom filter
-once for each level up to q; a reader probes level after level until one is missing. The filter is
-cut into slices by bigram hash, which grow with what is put into them, so each stays half empty at
-most and no bigram is left out. No task holds more than one slice: blocks send their bigrams to the
-slices and are told the levels, as they are told the counts of words.
-
-P(w | u) = share * q(u, w) / c(u) + (1 - share) * (c(w) + 1) / (N + V + 1), q being the least count of
-the level. As no level overstates its count, the probabilities after u sum to 1 at most.
+"""Scoring of texts with a trigram language model held in a log-frequency Bloom filter.
+
+Word counts are exact: they come from the vocabulary join by blocks. Counts of bigrams and trigrams
+are quantised to the logarithm, level 1 + floor(log_1.5 count), and an n-gram of level q is put into a
+Bloom filter once for each level up to q; a reader probes level after level until one is missing.
+The filter is cut into slices by ranges of n-gram keys, which grow with what is put into them, so no
+n-gram is left out. No task holds more than one slice: blocks send their n-grams to the slices and
+are told the levels, as they are told the counts of words. A filter that is broadcast would have to
+stop growing with the corpus.
+
+P(w | u, v) = high * min(1, (q(u, v, w) - discount) / most(u, v)) + (1 - high) * P(w | v)
+P(w | v)    = share * min(1, (q(v, w) - discount) / c(v)) + (1 - share) * (c(w) + 1) / (N + V + 1)
+
+q is the least count of an n-gram's level and most the largest count of that of (u, v), so neither
+share is overstated; terms of n-grams that are not found are 0. The discount is what tells an n-gram
+seen once from one seen again where its context was seen no more often than itself. The first token
+of a text has no (u, v) and is scored by P(w | v), v being the end that stands before every text.
 """
 
 from __future__ import annotations
@@ -31,13 +37,20 @@ END = b"\n"
 KEY_BITS = 48
 #: Bits of all slices together before any of them grows.
 FILTER_BITS = 1 << 27
-LEAST_BITS = 512
-PROBES = 3
+WORD_BITS = 64
+#: Bits of the filter for each level of each n-gram, at least, and how many of them one sets.
+ROOM = 16
+PROBES = 4
+STEP = 0x9E3779B1
 BASE = 1.5
 LEVELS = 48
 SHARE = 0.2
+HIGH = 0.4
+DISCOUNT = 0.95
 #: The least count of each level; level 0 is that of what was not found.
 LEAST = np.array([0.0] + [math.ceil(BASE**q) for q in range(LEVELS)])
+#: The largest count of each level; the last one has no bound and takes what would begin the next.
+MOST = np.array([*(LEAST[1:] - 1), math.ceil(BASE**LEVELS)])
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 SCORES_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -47,8 +60,35 @@ def held_out(doc_id: int | None, folds: int = 7, fold: int = 2) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds == fold
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]  # bytes.lower() changes A-Z alone
+class Tokens:
+    """The tokens of a block's texts by number, each text ending with END."""
+
+    def __init__(self, rows: list[tuple[int | None, bytes]]):
+        sizes, numbers, self.words = common.split_words([text for _, text in rows], lower=True)
+        self.sizes = sizes + 1
+        self.ends = self.sizes.cumsum() - 1
+        self.starts = self.ends - sizes
+        self.ids = np.full(int(self.sizes.sum()), len(self.words), np.int64)
+        inner = np.ones(len(self.ids), bool)
+        inner[self.ends] = False
+        self.ids[inner] = numbers
+        self.words.append(END)
+        self.train = np.repeat(np.array([not held_out(doc_id) for doc_id, _ in rows], bool), self.sizes)
+        self.first = np.zeros(len(self.ids), bool)
+        self.first[self.starts] = True
+
+    def before(self) -> np.ndarray:
+        """The number of the token before each."""
+        out = np.roll(self.ids, 1)
+        out[self.starts] = len(self.words) - 1
+        return out
+
+    def ngrams(self) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of all bigrams, and those of the trigrams of the tokens that are no first ones."""
+        h = np.fromiter(map(word_hash, self.words), np.uint64, len(self.words))
+        two = paired(h[self.before()], h[self.ids])
+        three = paired(np.roll(two, 1), h[self.ids])[~self.first]
+        return two >> np.uint64(64 - KEY_BITS), three >> np.uint64(64 - KEY_BITS)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,51 +97,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Bigram keys of KEY_BITS bits from word hashes."""
-    return mix(before * np.uint64(0x9E3779B97F4A7C15) + after) >> np.uint64(64 - KEY_BITS)
+def paired(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Hashes of pairs; that of a trigram is of a bigram's hash and a word's."""
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + after)
 
 
 def level(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.searchsorted(LEAST, counts, side="right") - 1, LEVELS)
 
 
-def places(key: np.ndarray, lev: np.ndarray | int, bits: np.ndarray | int) -> list[np.ndarray]:
-    h = mix(key * np.uint64(0xD6E8FEB86659FD93) + np.uint64(lev) if np.isscalar(lev) else key * np.uint64(0xD6E8FEB86659FD93) + lev.astype(np.uint64))
-    step, last = mix(h) | np.uint64(1), np.asarray(bits, np.uint64) - np.uint64(1)
-    return [(h + np.uint64(j) * step) & last for j in range(PROBES)]
-
+class LogFrequencyFilter:
+    """A slice of the filter: 64-bit words, in which a level of a key sets PROBES bits of one word.
 
-def build_slice(key: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
-    """A slice of the filter, of `bits` bits, doubled until all levels of all bigrams leave it half empty."""
-    q = level(counts)
-    while int(q.sum()) * PROBES > bits * math.log(2):
-        bits *= 2
-    out = np.zeros(bits, bool)
-    for x in range(1, int(q.max(initial=0)) + 1):
-        for at in places(key[q >= x], x, bits):
-            out[at] = True
-    return np.packbits(out, bitorder="little").tobytes()
+    Keys go to words by their order, each level a fixed step further on, so that the levels of one
+    key fill no word. key: sorted keys of one slice, which has `width` bits of keys below its number.
+    The slice starts with `bits` bits and is doubled until each level of each key has room.
+    """
 
-
-class LogFrequencyFilter:
-    def __init__(self, slices: list[bytes]):
-        self.count = len(slices)
-        self.bits = np.array([8 * len(x) for x in slices], np.int64)
-        self.start = self.bits.cumsum() - self.bits
-        self.data = np.frombuffer(b"".join(slices), np.uint8)
-        self.shift = np.uint64(KEY_BITS - (self.count.bit_length() - 1))
+    def __init__(self, key: np.ndarray, counts: np.ndarray, bits: int, width: int):
+        q = level(counts)
+        size = max(0, (bits // WORD_BITS).bit_length() - 1)
+        while size < width and int(q.sum()) * ROOM > WORD_BITS << size:
+            size += 1
+        self.shift, self.mask = np.uint64(max(0, width - size)), np.uint64((1 << width) - 1)
+        self.words = np.zeros(1 << size, np.uint64)
+        for x in range(1, int(q.max(initial=0)) + 1):
+            some = key[q >= x]
+            at, set_ = self.place(some, x), self.probes(some, x)
+            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            self.words[at[starts]] |= np.bitwise_or.reduceat(set_, starts)
+
+    def place(self, key: np.ndarray, lev: int) -> np.ndarray:
+        return (((key & self.mask) >> self.shift).astype(np.int64) + lev * STEP) & (len(self.words) - 1)
+
+    def probes(self, key: np.ndarray, lev: int) -> np.ndarray:
+        h = mix(key * np.uint64(0xD6E8FEB86659FD93) + np.uint64(lev))
+        out = np.zeros(len(key), np.uint64)
+        for k in range(PROBES):
+            out |= np.uint64(1) << (h >> np.uint64(6 * k) & np.uint64(63))
+        return out
 
     def levels(self, key: np.ndarray) -> np.ndarray:
         """The level of each key, 0 where none is found."""
-        part = (key >> self.shift).astype(np.int64)
-        found, alive, lev = np.zeros(len(key), np.int64), np.arange(len(key)), 1
+        found, alive, lev = np.zeros(len(key), np.uint8), np.arange(len(key)), 1
         while len(alive) and lev <= LEVELS:
-            hit = np.ones(len(alive), bool)
-            for at in places(key[alive], lev, self.bits[part[alive]]):
-                pos = self.start[part[alive]] + at.astype(np.int64)
-                hit &= (self.data[pos >> 3] >> (pos & 7).astype(np.uint8) & 1).astype(bool)
-            alive = alive[hit]
+            want = self.probes(key[alive], lev)
+            alive = alive[self.words[self.place(key[alive], lev)] & want == want]
             found[alive] = lev
             lev += 1
         return found
@@ -111,12 +152,10 @@ def vocabulary_counts(docs: DataFrame, parts: int) -> DataFrame:
     """What each part of the vocabulary tells each block: the training counts of the block's tokens."""
 
     def send(block) -> Iterator[tuple[int, bytes]]:
-        train: Counter[bytes] = Counter()
-        every: set[bytes] = set()
-        for doc_id, text in block.rows:
-            (every if held_out(doc_id) else train).update(tokens(text))
-        for part, words in in_parts(list(every | train.keys()), parts):
-            yield part, pack_words(words, np.fromiter((train[w] for w in words), np.int64, len(words)).tobytes())
+        t = Tokens(block.rows)
+        counts = np.bincount(t.ids[t.train], minlength=len(t.words))
+        for part, at in in_parts(t.words, parts):
+            yield part, pack_words([t.words[i] for i in at], counts[at].astype(np.int64).tobytes())
 
     def answer(lists: list[tuple[int, bytes]]) -> Iterator[bytes]:
         total: Counter[bytes] = Counter()
@@ -128,7 +167,7 @@ def vocabulary_counts(docs: DataFrame, parts: int) -> DataFrame:
                 total[w] += n
         head = struct.pack("<qq", sum(total.values()), sum(n > 0 for n in total.values()))
         for words in asked:
-            yield head + squeeze(np.fromiter((total[w] for w in words), np.int64, len(words)).tobytes())
+            yield head + squeeze(np.fromiter(map(total.__getitem__, words), np.int64, len(words)).tobytes())
 
     return answers(docs, parts, send, answer)
 
@@ -153,26 +192,24 @@ def slices_for(parts: int) -> int:
 
 def by_slice(key: np.ndarray, slices: int) -> list[tuple[int, int, int]]:
     """(slice, from, to) of sorted keys."""
+    if not len(key):
+        return []
     part = (key >> np.uint64(KEY_BITS - (slices.bit_length() - 1))).astype(np.int64)
     at = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(key)]
     return [(int(part[a]), a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def bigram_levels(docs: DataFrame, slices: int, bits: int = FILTER_BITS) -> DataFrame:
-    """What each slice of the filter tells each block: the levels of the block's distinct bigrams, in order of their keys."""
-    own = max(bits // slices, LEAST_BITS)
+def ngram_levels(docs: DataFrame, slices: int, bits: int = FILTER_BITS) -> DataFrame:
+    """What each slice of the filter tells each block: the levels of the block's distinct n-grams, in order of their keys."""
+    own, width = max(bits // slices, WORD_BITS), KEY_BITS - (slices.bit_length() - 1)
 
     def send(block) -> Iterator[tuple[int, bytes]]:
-        number: dict[bytes, int] = {}
-        every, held = [], []
-        for doc_id, text in block.rows:
-            ids = [number.setdefault(w, len(number)) for w in tokens(text)]
-            (held if held_out(doc_id) else every).append(np.array([number[END], *ids], np.uint32))
-        hashes = np.fromiter(map(word_hash, number), np.uint64, len(number))
-        made = lambda some: np.concatenate([np.zeros(0, np.uint64), *(keys(hashes[x[:-1]], hashes[x[1:]]) for x in some)])
-        held = made(held)
-        got, counts = np.unique(np.concatenate([made(every), held]), return_counts=True)
-        asked, times = np.unique(held, return_counts=True)
+        t = Tokens(block.rows)
+        two, three = t.ngrams()
+        learnt = np.concatenate([t.train, t.train[~t.first]])
+        every = np.concatenate([two, three])
+        got, counts = np.unique(every, return_counts=True)
+        asked, times = np.unique(every[~learnt], return_counts=True)
         counts[np.searchsorted(got, asked)] -= times  # asked for, not learnt from
         for part, a, b in by_slice(got, slices):
             gaps = np.diff(got[a:b])
@@ -191,15 +228,26 @@ def bigram_levels(docs: DataFrame, slices: int, bits: int = FILTER_BITS) -> Data
         key, where = np.unique(np.concatenate(every), return_inverse=True)
         total = np.bincount(where, np.concatenate(counts))
         learnt = total > 0
-        bloom = LogFrequencyFilter([build_slice(key[learnt], total[learnt], own)])
-        told = bloom.levels(key).astype(np.uint8)[where]
+        told = LogFrequencyFilter(key[learnt], total[learnt], own, width).levels(key)[where]
         for x in np.split(told, np.cumsum([len(x) for x in every])[:-1]):
             yield squeeze(x.tobytes())
 
     return answers(docs, slices, send, answer)
 
 
-def score(docs: DataFrame, bits: int = FILTER_BITS, share: float = SHARE) -> DataFrame:
+def probabilities(c: np.ndarray, before: np.ndarray, two: np.ndarray, three: np.ndarray, first: np.ndarray, floor: float, share: float = SHARE, high: float = HIGH, discount: float = DISCOUNT) -> np.ndarray:
+    """P of each token from its own count and that of the one before, and the levels of its bigram and trigram.
+
+    three: of the tokens that are no first ones.
+    """
+    p = (1 - share) * (c + 1.0) / floor + share * np.minimum(np.maximum(LEAST[two] - discount, 0.0) / np.maximum(before, 1), 1.0)
+    context = np.roll(two, 1)[~first]
+    some = np.where(context > 0, np.maximum(LEAST[three] - discount, 0.0) / np.maximum(MOST[context], 1.0), 0.0)
+    p[~first] = (1 - high) * p[~first] + high * np.minimum(some, 1.0)
+    return p
+
+
+def score(docs: DataFrame, bits: int = FILTER_BITS, share: float = SHARE, high: float = HIGH, discount: float = DISCOUNT) -> DataFrame:
     """Base and model log10 probabilities of each row of docs(doc_id, text).
 
     A null or empty text is its end alone. Repeated rows are learnt from and scored each. A null
@@ -211,29 +259,21 @@ def score(docs: DataFrame, bits: int = FILTER_BITS, share: float = SHARE) -> Dat
     slices = slices_for(parts)
     told = common.checkpointed(vocabulary_counts(docs, parts))
     n_all, n_words = totals(told)
-    levels = bigram_levels(docs, slices, bits).withColumn("part", F.col("part") + parts)
+    levels = ngram_levels(docs, slices, bits).withColumn("part", F.col("part") + parts)
     floor = float(n_all + n_words + 1)
 
     def finish(rows: list[tuple[int | None, bytes]], data: dict[int, bytes]) -> Iterator[tuple]:
-        number: dict[bytes, int] = {}
-        texts = [np.array([number.setdefault(w, len(number)) for w in tokens(text)], np.uint32) for _, text in rows]
-        c, h = np.zeros(len(number), np.int64), np.zeros(len(number), np.uint64)
-        for part, words in in_parts(list(number), parts):
-            at = np.fromiter((number[w] for w in words), np.int64, len(words))
+        t = Tokens(rows)
+        c = np.zeros(len(t.words), np.int64)
+        for part, at in in_parts(t.words, parts):
             c[at] = np.frombuffer(unsqueeze(data[part][16:]), np.int64)
-            h[at] = np.fromiter(map(word_hash, words), np.uint64, len(words))
-        unigram = (c + 1.0) / floor
-        sizes = np.array([len(x) for x in texts])
-        ids = np.concatenate(texts)
-        starts = sizes.cumsum() - sizes
-        before = np.concatenate([ids[:1], ids[:-1]])
-        before[starts] = number[END]
-        key, where = np.unique(keys(h[before], h[ids]), return_inverse=True)
-        found = np.concatenate([np.frombuffer(unsqueeze(data[parts + k]), np.uint8) for k, _, _ in by_slice(key, slices)])
-        q = LEAST[found[where]]
-        p = share * np.minimum(q / np.maximum(c[before], 1), 1.0) + (1 - share) * unigram[ids]
-        sums = [np.add.reduceat(x, starts) for x in ((c[ids] > 0).astype(np.int64), np.log10(unigram[ids]), np.log10(p))]
+        two, three = t.ngrams()
+        key, where = np.unique(np.concatenate([two, three]), return_inverse=True)
+        found = np.concatenate([np.frombuffer(unsqueeze(data[parts + k]), np.uint8) for k, _, _ in by_slice(key, slices)])[where]
+        own = c[t.ids]
+        p = probabilities(own, c[t.before()], found[: len(two)], found[len(two) :], t.first, floor, share, high, discount)
+        known, base, model = (np.add.reduceat(x, t.starts).tolist() for x in ((own > 0).astype(np.int64), np.log10((own + 1.0) / floor), np.log10(p)))
         for k, (doc_id, _) in enumerate(rows):
-            yield doc_id, held_out(doc_id), int(sizes[k]), int(sums[0][k]), n_all, float(sums[1][k]), float(sums[2][k])
+            yield doc_id, held_out(doc_id), int(t.sizes[k]), known[k], n_all, base[k], model[k]
 
-    return finished(docs, told.unionByName(levels), parts, finish, SCORES_ARROW, SCORES)
+    return finished(docs, told.unionByName(levels), finish, SCORES_ARROW, SCORES)

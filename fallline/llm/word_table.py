@@ -48,9 +48,9 @@ def pieces(path: str) -> list[str]:
 
 
 def send(block, parts: int) -> Iterator[tuple[int, bytes]]:
-    words = {w for _, text in block.rows for w in text.split()}
-    for part, listed in in_parts(list(words), parts):
-        yield part, pack_words(listed)
+    words = common.split_words([text for _, text in block.rows])[2]
+    for part, at in in_parts(words, parts):
+        yield part, pack_words([words[i] for i in at])
 
 
 def encode_part(lists: list[tuple[int, bytes]], path: str) -> Iterator[bytes]:
@@ -68,40 +68,53 @@ def encode_part(lists: list[tuple[int, bytes]], path: str) -> Iterator[bytes]:
         yield squeeze(struct.pack("<I", len(got)) + sizes.tobytes() + flat.tobytes())
 
 
-def word_ids(rows: list[tuple[int | None, bytes]], told: dict[int, bytes], parts: int) -> dict[bytes, list[int]]:
-    out: dict[bytes, list[int]] = {}
-    for part, listed in in_parts(list({w for _, text in rows for w in text.split()}), parts):
+def word_ids(words: list[bytes], told: dict[int, bytes], parts: int) -> list[list[int]]:
+    """The ids of each of a block's distinct words, from what the parts told it."""
+    out: list[list[int]] = [[]] * len(words)
+    for part, at in in_parts(words, parts):
         raw = unsqueeze(told[part])
         (n,) = struct.unpack_from("<I", raw)
-        sizes = np.frombuffer(raw, np.uint32, n, 4)
-        flat, at = np.frombuffer(raw, np.uint32, -1, 4 + 4 * n).tolist(), 0
-        for w, k in zip(listed, sizes.tolist(), strict=True):
-            out[w] = flat[at : at + k]
-            at += k
+        ends = np.frombuffer(raw, np.uint32, n, 4).cumsum().tolist()
+        flat, start = np.frombuffer(raw, np.uint32, -1, 4 + 4 * n).tolist(), 0
+        for i, end in zip(at.tolist(), ends, strict=True):
+            out[i] = flat[start:end]
+            start = end
     return out
 
 
 def run(docs: DataFrame, path: str, digest: bool) -> DataFrame:
     parts = parts_for(docs)
 
+    def by_text(rows: list[tuple[int | None, bytes]], told: dict[int, bytes]) -> Iterator[tuple[int | None, list[int], list[list[int]]]]:
+        """doc_id and the numbers of a text's words that have ids, with the ids by number."""
+        sizes, numbers, words = common.split_words([text for _, text in rows])
+        ids = word_ids(words, told, parts)
+        some = np.fromiter(map(bool, ids), bool, len(ids))
+        at = 0
+        for (doc_id, _), n in zip(rows, sizes.tolist(), strict=True):
+            own = numbers[at : at + n]
+            yield doc_id, own[some[own]].tolist(), ids
+            at += n
+
     def ids_of(rows: list[tuple[int | None, bytes]], told: dict[int, bytes]) -> Iterator[tuple]:
-        ids, names = word_ids(rows, told, parts), pieces(path)
-        for doc_id, text in rows:
-            flat = [i for w in text.split() for i in ids[w]]
+        names = pieces(path)
+        for doc_id, own, ids in by_text(rows, told):
+            flat = [i for w in own for i in ids[w]]
             yield doc_id, len(flat), flat, " ".join([names[i] for i in flat])
 
     def digests(rows: list[tuple[int | None, bytes]], told: dict[int, bytes]) -> Iterator[tuple]:
-        names = pieces(path)
-        words = {w: (len(x), " ".join(map(str, x)).encode(), " ".join([names[i] for i in x]).encode()) for w, x in word_ids(rows, told, parts).items() if x}
-        none = (0, b"", b"")
-        for doc_id, text in rows:
-            got = [x for w in text.split() if (x := words.get(w, none))[0]]
-            yield doc_id, sum([x[0] for x in got]), *(hashlib.sha256(b" ".join([x[k] for x in got])).hexdigest() for k in (1, 2))
+        names, listed, decoded = pieces(path), None, None
+        for doc_id, own, ids in by_text(rows, told):
+            if listed is None:  # once for a block
+                listed = [" ".join(map(str, x)).encode() for x in ids]
+                decoded = [" ".join([names[i] for i in x]).encode() for x in ids]
+            text = b" ".join(map(listed.__getitem__, own))
+            yield doc_id, text.count(b" ") + 1 if own else 0, hashlib.sha256(text).hexdigest(), hashlib.sha256(b" ".join(map(decoded.__getitem__, own))).hexdigest()
 
     told = answers(docs, parts, lambda block: send(block, parts), lambda lists: encode_part(lists, path))
     if digest:
-        return finished(docs, told, parts, digests, DIGEST_ARROW, DIGEST)
-    return finished(docs, told, parts, ids_of, CODED_ARROW, CODED)
+        return finished(docs, told, digests, DIGEST_ARROW, DIGEST)
+    return finished(docs, told, ids_of, CODED_ARROW, CODED)
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
