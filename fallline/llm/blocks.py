@@ -136,16 +136,16 @@ def gathered(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int,
         yield now, held
 
 
-def answers(docs: DataFrame, parts: int, send: Callable[[Block], Iterator[tuple[int, bytes]]], answer: Callable[[list[tuple[int, bytes]]], Iterator[bytes]]) -> DataFrame:
+def answers(docs: DataFrame, parts: int, send: Callable[[Block], Iterator[tuple[int, bytes]]], answer: Callable[[list[tuple[int, bytes]]], Iterator[bytes]], most: int = BLOCK_BYTES) -> DataFrame:
     """Rows (block, part, mark, data): what each part of the vocabulary says to each block.
 
     send: a block's lists by part. answer: from all lists of one part, in any order, the data for each.
-    Each part has a partition of its own.
+    Each part has a partition of its own. most: bytes of a block, the same for answers() and finished().
     """
     common.ship(docs.sparkSession)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from common.batches_of(((b.number, part, b.mark, data) for b in blocks(batches) for part, data in send(b)), ARROW, 256)
+        yield from common.batches_of(((b.number, part, b.mark, data) for b in blocks(batches, most) for part, data in send(b)), ARROW, 256)
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made() -> Iterator[tuple]:
@@ -159,14 +159,14 @@ def answers(docs: DataFrame, parts: int, send: Callable[[Block], Iterator[tuple[
     return lists.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "block").mapInArrow(answered, SCHEMA)
 
 
-def finished(docs: DataFrame, told: DataFrame, finish: Callable[[list[tuple[int | None, bytes]], dict[int, bytes]], Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
+def finished(docs: DataFrame, told: DataFrame, finish: Callable[[list[tuple[int | None, bytes]], dict[int, bytes]], Iterator[tuple]], schema: pa.Schema, ddl: str, most: int = BLOCK_BYTES) -> DataFrame:
     """finish(rows, {part: data}) for each block, with what the parts told it.
 
     The blocks of one input partition meet their answers in one partition, as evenly as they were read.
     """
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from common.batches_of(((b.number, DOCS, b.mark, b.packed()) for b in blocks(batches)), ARROW, 16)
+        yield from common.batches_of(((b.number, DOCS, b.mark, b.packed()) for b in blocks(batches, most)), ARROW, 16)
 
     def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made() -> Iterator[tuple]:

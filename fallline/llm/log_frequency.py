@@ -35,6 +35,8 @@ from .blocks import answers, finished, in_parts, pack_words, parts_for, squeeze,
 
 END = b"\n"
 KEY_BITS = 48
+#: Bytes of a block's texts: its n-grams take some fifty times as much memory.
+BLOCK_BYTES = 8 << 20
 #: Bits of all slices together before any of them grows.
 FILTER_BITS = 1 << 27
 WORD_BITS = 64
@@ -169,7 +171,7 @@ def vocabulary_counts(docs: DataFrame, parts: int) -> DataFrame:
         for words in asked:
             yield head + squeeze(np.fromiter(map(total.__getitem__, words), np.int64, len(words)).tobytes())
 
-    return answers(docs, parts, send, answer)
+    return answers(docs, parts, send, answer, BLOCK_BYTES)
 
 
 def totals(told: DataFrame) -> tuple[int, int]:
@@ -232,7 +234,7 @@ def ngram_levels(docs: DataFrame, slices: int, bits: int = FILTER_BITS) -> DataF
         for x in np.split(told, np.cumsum([len(x) for x in every])[:-1]):
             yield squeeze(x.tobytes())
 
-    return answers(docs, slices, send, answer)
+    return answers(docs, slices, send, answer, BLOCK_BYTES)
 
 
 def probabilities(c: np.ndarray, before: np.ndarray, two: np.ndarray, three: np.ndarray, first: np.ndarray, floor: float, share: float = SHARE, high: float = HIGH, discount: float = DISCOUNT) -> np.ndarray:
@@ -276,4 +278,4 @@ def score(docs: DataFrame, bits: int = FILTER_BITS, share: float = SHARE, high:
         for k, (doc_id, _) in enumerate(rows):
             yield doc_id, held_out(doc_id), int(t.sizes[k]), known[k], n_all, base[k], model[k]
 
-    return finished(docs, told.unionByName(levels), finish, SCORES_ARROW, SCORES)
+    return finished(docs, told.unionByName(levels), finish, SCORES_ARROW, SCORES, BLOCK_BYTES)

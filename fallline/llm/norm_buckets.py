@@ -1,9 +1,11 @@
 """Exact top-k by inner product, over candidates in buckets of like length.
 
 Components become whole numbers, so products are exact. Candidates are grouped by length into
-buckets, the longest first, each so many times as large as the one before. After each bucket a query
-has a score to beat, that of its k-th best so far, and goes on to the next bucket only where its
-length times the bucket's greatest length can reach it: queries are dropped before anything is sent.
+buckets, the longest first, each so many times as large as the one before. The longest few, a matrix
+of bounded size that is broadcast, give every query a score to reach before any bucket is met, and
+each bucket a higher one: that of the k-th best so far. A query goes on to a bucket only where its
+length times the bucket's greatest length can reach that score: queries are dropped before anything
+is sent.
 Within a bucket the same bound decides which blocks a block of queries, all of which have like needs,
 is sent to. In a block the score to beat over both lengths is a local cosine threshold: where it is
 high, few coordinates decide, and candidates are pruned by the query's largest coordinates and the
@@ -12,8 +14,8 @@ What remains is verified by full products. The number of buckets grows with the
 number of candidates.
 
 A block of candidates is sent to a few tasks and held there while blocks of queries pass by, so no
-row is sent for each pair, and a task returns k rows for each query at most, all of them better than
-the score to beat; ties are settled by vec_id, so copies of one vector do not add rows either.
+row is sent for each pair, and a task returns k rows for each query at most, none of them worse than
+the score to reach; ties are settled by vec_id, so copies of one vector do not add rows either.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ K = 20
 SCALE = 64
 #: Candidates of the first bucket, and how many times as many the next one has.
 FIRST_ROWS = 8192
+#: Bytes of the broadcast matrix of the longest candidates at most.
+START_BYTES = 16 << 20
 GROWTH = 16
 #: Rows of a block at most, and bytes of its matrix of doubles.
 BLOCK_ROWS = 8192
@@ -123,7 +127,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def visit(best: Best, qids: np.ndarray, q: np.ndarray, beat: np.ndarray, beat_id: np.ndarray, ids: np.ndarray, c: np.ndarray) -> None:
-    """Score one block of candidates against queries with scores to beat, or to reach with a smaller id."""
+    """Score one block of candidates against queries with scores to beat, or to reach with no larger id."""
     qn, cn = np.sqrt((q * q).sum(1)), np.sqrt((c * c).sum(1))
     slack = 1e-6
     alive = np.flatnonzero(qn * (cn.max() if len(cn) else 0) * (1 + slack) + slack >= beat)
@@ -134,7 +138,7 @@ def visit(best: Best, qids: np.ndarray, q: np.ndarray, beat: np.ndarray, beat_id
     if len(by_length):  # all at once: most candidates are verified anyway
         s = products(q[by_length], c)
         for r, k in enumerate(by_length):
-            fits = np.flatnonzero(((s[r] > beat[k]) | (s[r] == beat[k]) & (ids < beat_id[k])) & (ids != qids[k]))
+            fits = np.flatnonzero(((s[r] > beat[k]) | (s[r] == beat[k]) & (ids <= beat_id[k])) & (ids != qids[k]))
             best.add(k, s[r][fits], ids[fits])
     for k in alive[local >= COSINE]:
         top = np.argsort(-np.abs(q[k]), kind="stable")[:HEAD]
@@ -144,7 +148,7 @@ def visit(best: Best, qids: np.ndarray, q: np.ndarray, beat: np.ndarray, beat_id
         fits = np.flatnonzero((bound * (1 + np.sign(bound) * slack) + slack >= beat[k]) & (ids != qids[k]))
         if len(fits):
             s = products(q[k : k + 1], c[fits])[0]
-            sure = (s > beat[k]) | (s == beat[k]) & (ids[fits] < beat_id[k])
+            sure = (s > beat[k]) | (s == beat[k]) & (ids[fits] <= beat_id[k])
             best.add(k, s[sure], ids[fits][sure])
 
 
@@ -186,6 +190,39 @@ def met(asked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     return both.repartition(max(8, common.input_partitions(blocks)), "block", "salt").sortWithinPartitions("block", "salt", "kind").mapInArrow(run, FOUND)
 
 
+def started(queries: DataFrame, rows: DataFrame, k: int, first: int) -> DataFrame:
+    """queries with `beat` and `beat_id`: score and id of the k-th best of the longest candidates, where there are k."""
+    widest = rows.agg(F.max("dim").alias("d")).first().d or 1
+    lead = rows.orderBy(F.desc("norm"), "vec_id").limit(max(1, min(first, START_BYTES // (8 * widest)))).select("vec_id", "dim", "v").toArrow()
+    dims = lead.column("dim").to_numpy()
+    held = {}
+    for d in np.unique(dims).tolist():
+        some = lead.filter(pa.array(dims == d))
+        held[d] = (some.column("vec_id").to_numpy(), some.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
+    sent = rows.sparkSession.sparkContext.broadcast(held)
+    schema = queries.select("*", F.lit(0.0).alias("beat"), F.lit(0).cast("long").alias("beat_id")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, QUERY_ROWS):
+                batch = whole_batch.slice(at, QUERY_ROWS)
+                beat, beat_id = np.full(batch.num_rows, -np.inf), np.zeros(batch.num_rows, np.int64)
+                qids, dims = batch.column("vec_id").to_numpy(), batch.column("dim").to_numpy()
+                for d in np.unique(dims).tolist():
+                    if d not in sent.value:
+                        continue
+                    own, (ids, c) = np.flatnonzero(dims == d), sent.value[d]
+                    q = batch.column("v").take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                    for i, s in zip(own.tolist(), products(q, c), strict=True):
+                        others = np.flatnonzero(ids != qids[i])
+                        if len(others) >= k:
+                            last = others[np.lexsort((ids[others], -s[others]))[k - 1]]
+                            beat[i], beat_id[i] = float(s[last]), ids[last]
+                yield batch.append_column("beat", pa.array(beat)).append_column("beat_id", pa.array(beat_id))
+
+    return queries.mapInArrow(run, schema)
+
+
 def best_of(found: DataFrame, k: int) -> DataFrame:
     """FOUND and `rank`: the k best of each query. Ranks are cut before the shuffle too."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -212,22 +249,23 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = K, scale: int = SCALE, f
     vec_id are candidates each, but never of a query of that vec_id. Other columns are not read. Fewer
     than k candidates give all. An empty table gives an empty result.
     """
+    common.ship(vectors.sparkSession)
     rows = common.checkpointed(whole(vectors, scale))
-    queries = common.checkpointed(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]))
-    found = rows.sparkSession.createDataFrame([], FOUND)
+    queries = common.checkpointed(started(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), rows, k, first))
+    found = rows.sparkSession.createDataFrame([], f"{FOUND}, rank int")
     above = float("inf")
     for low in bounds(rows, first, growth):
         bucket = rows.where((F.col("norm") >= low) & (F.col("norm") < above))
         blocks = common.checkpointed(packed(bucket.withColumn("beat", F.lit(0.0)).withColumn("beat_id", F.lit(0).cast("long")), BLOCK_ROWS, -F.col("norm")))
         longest = blocks.groupBy("dim").agg(F.max("longest").alias("most"))
-        last = found.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("beat"), F.col("vec_id").alias("beat_id")) if above < float("inf") else None
-        asked = queries.withColumn("beat", F.lit(float("-inf"))).withColumn("beat_id", F.lit(0).cast("long")) if last is None else queries.join(last, F.col("vec_id") == F.col("query_id"), "left").na.fill({"beat": float("-inf"), "beat_id": 0})
+        last = found.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("new"), F.col("vec_id").alias("new_id"))
+        asked = queries.join(last, F.col("vec_id") == F.col("query_id"), "left").withColumn("beat_id", F.coalesce("new_id", "beat_id")).withColumn("beat", F.coalesce("new", "beat"))
         need = F.when(F.col("beat") <= 0, F.lit(0.0)).otherwise(F.col("beat") / (F.col("norm") * (1 + 1e-6) + 1e-9))
-        # A block's `longest` has to be the least need of its queries: lengths are given as negative needs.
         asked = asked.withColumn("need", need).join(F.broadcast(longest) if longest.count() <= BROADCAST_BLOCKS else longest, "dim").where(F.col("need") <= F.col("most"))
+        # Of a block of queries `longest` is to be the least need: needs are negative lengths while they are packed.
         asked = packed(asked.select("vec_id", "v", "dim", (-F.col("need")).alias("norm"), "beat", "beat_id"), QUERY_ROWS, F.col("norm"))
         asked = common.checkpointed(asked.withColumn("longest", -F.col("longest")))
         if not asked.isEmpty():
-            found = common.checkpointed(best_of(met(asked, blocks, k).unionByName(found.select("query_id", "vec_id", "score")), k))
+            found = common.checkpointed(best_of(met(asked, blocks, k).unionByName(found.drop("rank")), k))
         above = low
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score") if "rank" in found.columns else found.select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
