@@ -59,7 +59,7 @@ class WordHashes(dict):
     """Hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -186,7 +186,7 @@ def common_elements(texts: DataFrame, words: int) -> np.ndarray:
             for packed in batch.column("packed"):
                 held.append(shingles(sets.unpacker.decompress(packed.as_py()), sets.hashes, words))
                 weight += len(held[-1])
-                if weight > 1_000_000:
+                if weight > 500_000:
                     yield summed()
                     held, weight = [], 0
         if held:
@@ -254,7 +254,7 @@ class Sets:
 
     def of(self, node: int, packed: pa.Scalar) -> np.ndarray:
         if node not in self.held:
-            if len(self.held) >= 64:
+            if len(self.held) >= 16:
                 self.held.popitem(last=False)
             self.held[node] = shingles(self.unpacker.decompress(packed.as_py()), self.hashes, self.words)
         return self.held[node]

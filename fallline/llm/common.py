@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 #: The ASCII white space that separates words, as a regular expression class.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once for each application.
 
-    Python workers then import it wherever they run, whatever their PYTHONPATH is.
+    Python workers then import it wherever they run, whatever their PYTHONPATH is. Batches sent to
+    them are bounded by BATCH_BYTES: texts are long, and 10,000 of them take much memory on both sides.
     """
     sc = spark.sparkContext
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)([a-z]*)", spark.conf.get(limit).lower()).groups()
+    if int(number) << {"k": 10, "m": 20, "g": 30}.get(unit[:1], 0) > BATCH_BYTES:
+        spark.conf.set(limit, BATCH_BYTES)
     if getattr(sc, "_fallline_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent
@@ -92,13 +99,13 @@ def split_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
 
 
 def batches_of(made: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Rows as Arrow batches of at most `size` rows and about 32 MB of strings and bytes."""
+    """Rows as Arrow batches of at most `size` rows and about 8 MB of strings and bytes."""
     held: list[tuple] = []
     weight = 0
     for row in made:
         held.append(row)
         weight += sum(len(x) for x in row if isinstance(x, (bytes, str)))
-        if len(held) >= size or weight >= 32 << 20:
+        if len(held) >= size or weight >= 8 << 20:
             yield _batch(held, schema)
             held, weight = [], 0
     if held:
