@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: Status changes of a request that are allowed.
 TRANSITIONS = {"pending": ("accepted", "declined", "expired"), "accepted": ("expired",)}
 
+#: Difficulties in order.
+DIFFICULTIES = {"green": 0, "blue": 1, "black": 2, "doubleBlack": 3, "terrainPark": 4}
+
 
 def without(c: Column) -> Column:
     """Null or empty."""
@@ -20,6 +23,50 @@ def searched(catalog: DataFrame, term: str) -> DataFrame:
     return catalog.where(F.contains(F.lower("name"), F.lit(term.lower()))).orderBy("name")
 
 
+def catalog_search(catalog: DataFrame, term: str, on_pass: bool = True) -> DataFrame:
+    """Resorts of the pass whose name, region, country or an alias holds the term, by name."""
+    every = F.lower(F.concat_ws(" ", "name", "region", "country", F.array_join("aliases", " ")))
+    return catalog.where((F.col("on_pass") == on_pass) & F.contains(every, F.lit(term.lower()))).orderBy("name")
+
+
+def day_search(runs: DataFrame, term: str) -> DataFrame:
+    """Days and resorts with their runs, where the written date or the resort's name holds the term."""
+    days = runs.groupBy(F.to_date("run_at").alias("day"), "resort_id").agg(F.count("*").alias("runs"))
+    low = F.lit(term.lower())
+    return days.where(F.contains(F.lower(F.date_format("day", "MMM d, yyyy")), low) | F.contains(F.lower("resort_id"), low))
+
+
+def is_glade(name: Column) -> Column:
+    return F.regexp_like(F.lower(name), F.lit(r"\b(glade|glades|trees|woods|forest)\b"))
+
+
+def difficulty_rank(difficulty: Column) -> Column:
+    """The order of difficulties, null for an unknown one."""
+    return F.create_map(*(F.lit(x) for kv in DIFFICULTIES.items() for x in kv))[difficulty]
+
+
+def solar_local(at: Column, lon: Column) -> Column:
+    """Local time by the sun: four minutes for each degree of longitude."""
+    return F.timestamp_micros(F.unix_micros(at) + F.round(lon / 15 * 3600 * 1_000_000).cast("long"))
+
+
+def validated(trails: DataFrame, official: DataFrame, sure: float = 0.85, maybe: float = 0.72) -> DataFrame:
+    """trails(id, name) with `verdict` by their greatest similarity to a name of official(official): valid, open or closed.
+
+    Names meet through the letter pairs they share, rarest first being left to the planner; no pair of
+    names without a common letter pair is made.
+    """
+    from ..functions import text
+
+    a = trails.select("id", text.bare(F.col("name")).alias("a")).withColumn("x", text.bigrams(F.col("a")))
+    b = official.select(text.bare(F.col("official")).alias("b")).distinct().withColumn("y", text.bigrams(F.col("b")))
+    shared = a.select("id", F.size("x").alias("nx"), F.explode("x").alias("g")).join(b.select("b", F.size("y").alias("ny"), F.explode("y").alias("g")), "g").groupBy("id", "b").agg((2.0 * F.count("*") / (F.first("nx") + F.first("ny"))).alias("s"))
+    equal = a.where("size(x) = 0").join(b.where("size(y) = 0"), F.col("a") == F.col("b")).select("id", "b", F.lit(1.0).alias("s"))
+    best = shared.unionByName(equal).groupBy("id").agg(F.max("s").alias("s"))
+    s = F.coalesce("s", F.lit(0.0))
+    return a.select("id").join(best, "id", "left").withColumn("verdict", F.when(s >= sure, "valid").when(s >= maybe, "open").otherwise("closed"))
+
+
 def open_runs(edges: DataFrame) -> DataFrame:
     return edges.where("is_open AND kind = 'run'")
 
@@ -85,10 +132,13 @@ def decoded_time(value: Column) -> Column:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df in the checkpoint folder, a temporary one only where the session names none; its lineage is cut."""
+    """df in the checkpoint folder, its lineage cut. Where the session names none a temporary one, which only a local master can share."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fallline-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not (sc.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="fallline-checkpoint-"))
     return df.checkpoint(eager=True)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .filters import kept
+
 #: Rows of a box table that is broadcast; a larger one is met through grid cells.
 BOXES = 10_000
 
@@ -61,17 +63,32 @@ def resort_of(fixes: DataFrame, resorts: DataFrame) -> DataFrame:
     return met.groupBy("event_id").agg(F.min_by("resort_id", F.when(F.col("resort_id").isNotNull(), F.struct(F.round("area", 12), "resort_id"))).alias("resort_id"))
 
 
-def nearest_in_time(rows: DataFrame, series: DataFrame, at: str, time: str, values: list[str], hours: int = 24) -> DataFrame:
-    """Each row with the series entry nearest in time, within `hours`; of two as near the later.
+def nearest_in_time(rows: DataFrame, series: DataFrame, at: str, time: str, values: list[str]) -> DataFrame:
+    """Each row with the series entry nearest in time, however far; of two as near the later.
 
-    Rows and entries meet by bucket, a row looking into its own and both neighbours.
+    Rows and entries are put into one order. Ranges of it are dealt to tasks, each carries the last
+    entry before it and the first after it, and the ranges' own last and first entries, one row for
+    each range, fill in where a range begins or ends without one. Repeated rows stay apart.
     """
-    bucket = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / (3600 * hours))
-    look = rows.withColumn("b", F.explode(F.array(*(bucket(at) + d for d in (-1, 0, 1)))))
-    met = look.join(series.select(F.col(time).alias("t_"), *values, bucket(time).alias("b")), "b", "left")
-    gap = F.abs(F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col("t_").cast("timestamp")))
-    near = F.when(gap <= hours * 3_600_000_000, F.struct(gap, -F.unix_micros(F.col("t_").cast("timestamp"))))
-    return met.groupBy(*rows.columns).agg(F.min_by(F.struct("t_", *values), near).alias("x")).select(*rows.columns, F.col("x.t_").alias("matched"), *(F.col(f"x.{v}").alias(v) for v in values))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    entry = F.struct(F.col(time).alias("t_"), micros(time).alias("us"), *values)
+    a = series.where(F.col(time).isNotNull()).select(micros(time).alias("us__"), F.lit(0).alias("ask__"), entry.alias("e__"), *(F.lit(None).cast(t).alias(c) for c, t in rows.dtypes))
+    b = rows.select(micros(at).alias("us__"), F.lit(1).alias("ask__"), F.lit(None).cast(a.schema["e__"].dataType).alias("e__"), *rows.columns)
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Ranges are sampled anew whenever they are computed: they are kept, as they are read three times.
+    every = kept(a.unionByName(b).repartitionByRange(parts, "us__").withColumn("range__", F.spark_partition_id()))
+    w = Window.partitionBy("range__").orderBy("us__", "ask__")
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    every = every.withColumn("before__", F.last("e__", True).over(back)).withColumn("after__", F.first("e__", True).over(ahead))
+    held = every.where("ask__ = 0").groupBy("range__").agg(F.max_by("e__", "us__").alias("last"), F.min_by("e__", "us__").alias("first"))
+    order = Window.orderBy("range__")  # one row for each range
+    every_range = every.select("range__").distinct().join(held, "range__", "left")
+    known = every_range.select(F.col("range__").alias("r__"), F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("p__"), F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("n__"))
+    out = every.where("ask__ = 1").join(F.broadcast(known), F.col("range__") == F.col("r__"), "left")
+    p, n = F.coalesce("before__", "p__"), F.coalesce("after__", "n__")
+    pick = F.when(n.isNull() | (F.col("us__") - p["us"] < n["us"] - F.col("us__")), p).otherwise(n)
+    out = out.withColumn("x__", F.when(F.col("us__").isNotNull(), pick))
+    return out.select(*rows.columns, F.col("x__.t_").alias("matched"), *(F.col(f"x__.{v}").alias(v) for v in values))
 
 
 def edge_overlay(edges: DataFrame, by_id: DataFrame, by_name: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def sessions(fixes: DataFrame, gap_s: float = 90.0, lift_gain: float = 8.0, lift
     return out.where("points >= 2").select("user_id", "lift", "points", "start", "stop", "metres")
 
 
-def peaks(fixes: DataFrame, cap: float = 30.0, longest: float = 86_400.0) -> DataFrame:
+def peaks(fixes: DataFrame, cap: float = 30.0, longest: float = 30.0) -> DataFrame:
     """The highest mean speed over three steps, each of a positive time of at most `longest` seconds."""
     steps = deltas(fixes).where((F.col("dt") > 0) & (F.col("dt") <= longest))
     w = Window.partitionBy("user_id").orderBy(*ORDER).rowsBetween(-2, 0)
@@ -73,11 +73,11 @@ def numbered(names: DataFrame) -> DataFrame:
 
 
 def legs(path: DataFrame) -> DataFrame:
-    """Consecutive steps of one kind and difficulty merged, with summed lengths."""
+    """Consecutive steps of one kind and name merged, with summed lengths."""
     w = Window.partitionBy("trail_group").orderBy("source", "id")
-    change = F.coalesce((F.col("kind") != F.lag("kind").over(w)) | (F.col("difficulty") != F.lag("difficulty").over(w)), F.lit(True))
+    change = F.coalesce((F.col("kind") != F.lag("kind").over(w)) | ~F.col("name").eqNullSafe(F.lag("name").over(w)), F.lit(True))
     rows = path.withColumn("new", change.cast("int")).withColumn("leg", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("trail_group", "leg").agg(F.min("kind").alias("kind"), F.min("difficulty").alias("difficulty"), F.count("*").alias("steps"), F.sum("length_m").alias("length_m"))
+    return rows.groupBy("trail_group", "leg").agg(F.min("kind").alias("kind"), F.min("name").alias("name"), F.count("*").alias("steps"), F.sum("length_m").alias("length_m"))
 
 
 def cumulative(path: DataFrame) -> DataFrame:
@@ -87,10 +87,9 @@ def cumulative(path: DataFrame) -> DataFrame:
 
 
 def trailing_sums(hourly: DataFrame) -> DataFrame:
-    """Snow of the last 24 and 72 entries, by position."""
-    last = lambda n: F.aggregate(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("time", "snowfall_cm"))), lambda x: x.snowfall_cm), -n, n), F.lit(0.0), lambda a, x: a + x)
-    few = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("time", "snowfall_cm"))), lambda x: x.snowfall_cm), F.lit(0.0), lambda a, x: a + x)
-    return hourly.agg(F.when(F.count("*") >= 24, last(24)).otherwise(few).alias("last_24"), F.when(F.count("*") >= 72, last(72)).otherwise(few).alias("last_72"))
+    """Snow of the last 24 and 72 entries, by position: only the last 72 rows meet."""
+    last = hourly.orderBy(F.desc("time")).limit(72).select("snowfall_cm", F.row_number().over(Window.orderBy(F.desc("time"))).alias("k"))
+    return last.agg(F.sum(F.when(F.col("k") <= 24, F.col("snowfall_cm"))).alias("last_24"), F.sum("snowfall_cm").alias("last_72"))
 
 
 def smoothed(fixes: DataFrame, alpha: float = 0.2) -> DataFrame:

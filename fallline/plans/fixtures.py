@@ -37,6 +37,13 @@ SQL = {
  p_partkey AS source, p_partkey % 300 + 1 AS target, CASE WHEN p_size % 3 = 0 THEN 'lift' ELSE 'run' END AS kind, p_name AS name, concat('g', CAST(p_partkey % 60 AS VARCHAR(20))) AS trail_group,
  p_retailprice AS length_m, CAST(p_size * 4.0 AS DOUBLE) AS vertical_m, CAST(p_size * 1.0 AS DOUBLE) AS gradient, p_size % 2 = 0 AS is_groomed, p_partkey % 9 <> 0 AS is_open, p_brand AS difficulty FROM part""",
     "f_hourly": """SELECT date_trunc('hour', ts) AS time, avg(value) AS temperature_c, CAST(count(*) * 1.0 AS DOUBLE) AS snowfall_cm, max(value) AS wind_kph FROM events GROUP BY date_trunc('hour', ts)""",
+    "f_contacts": """SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN concat(' +1 (604) 555-', lpad(CAST(c_custkey AS VARCHAR(20)), 4, '0')) WHEN 1 THEN concat('00420 777 ', lpad(CAST(c_custkey AS VARCHAR(20)), 6, '0'))
+ WHEN 2 THEN concat('604-555-', lpad(CAST(c_custkey AS VARCHAR(20)), 4, '0')) WHEN 3 THEN concat('1604555', lpad(CAST(c_custkey AS VARCHAR(20)), 4, '0')) ELSE '12-34 56' END AS raw,
+ CASE c_custkey % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'cz' WHEN 2 THEN 'GB' ELSE 'ZZ' END AS region FROM customer""",
+    "f_stamps": """SELECT event_id, concat(CAST(CAST(ts AS DATE) AS VARCHAR(20)), CASE event_id % 6 WHEN 0 THEN 'T12:30:00Z' WHEN 1 THEN 'T12:30:00.250Z' WHEN 2 THEN 'T12:30:00+02:00' WHEN 3 THEN ' 12:30' WHEN 4 THEN 'T25:00:00Z' ELSE '' END) AS stamp FROM events""",
+    "f_weather": """SELECT event_id AS id, ts, CAST(CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 41 - 20 END AS DOUBLE) AS temp_c, CAST(event_id % 95 AS DOUBLE) AS wind_kph, CAST(CASE WHEN event_id % 11 = 0 THEN NULL ELSE (event_id % 61) / 2.0 END AS DOUBLE) AS snow_cm,
+ CAST((event_id % 101) / 5.0 AS DOUBLE) AS vis_km, CAST(event_id % 101 AS INTEGER) AS cloud, event_id % 2 = 0 AS moguls, event_id % 3 = 0 AS ungroomed, event_id % 5 = 0 AS gladed FROM events""",
+    "f_trails": "SELECT p_partkey AS id, concat(CASE p_partkey % 4 WHEN 0 THEN 'É' WHEN 1 THEN 'São-' WHEN 2 THEN 'black ' ELSE '' END, p_name, CASE WHEN p_partkey % 5 = 0 THEN ' Glades!' ELSE '' END) AS name, CASE p_partkey % 3 WHEN 0 THEN 'black' WHEN 1 THEN 'blue' ELSE 'green' END AS difficulty, p_size FROM part",
     "f_names": "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN concat('The ', p_name, ' Express.') WHEN 1 THEN upper(p_name) ELSE concat(p_name, ' High-Speed Quad') END AS name, p_name AS official FROM part",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")

@@ -5,46 +5,14 @@ Each name begins with the number the operator has in the blueprint's inventory.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import aggregates, filters, joins, meeting, windows
-from .fixtures import ctes, view
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-AS_OF = "2001-12-31 00:00:00"
-
-
-def as_of() -> Column:
-    return F.lit(AS_OF).cast("timestamp")
-
-
-def add(name: str, fixtures: str, run: Callable[..., DataFrame], sql: str, round_to: int | None = 6) -> None:
-    """run(*fixture views) is the query. Doubles are rounded on both sides where round_to is given."""
-    names = fixtures.split()
+from .registry import AS_OF, FRIENDS, HAV, ORACLES, QUERIES, R, add, as_of
 
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = run(*(view(spark, sf_dir, n) for n in names))
-        return rounded(out, round_to)
-
-    query.__name__ = name
-    QUERIES[name] = query
-    body = f"{ctes(*names)}, out__ AS ({sql})"
-    # DuckDB leaves what is no double as it is when only such columns are named.
-    ORACLES[name] = f"{body} SELECT * FROM out__" if round_to is None else f"{body} SELECT COLUMNS(*) FROM out__"
-
-
-def rounded(df: DataFrame, to: int | None) -> DataFrame:
-    return df if to is None else df.select(*(F.round(c, to).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
-
-
-R = lambda x, n=6: f"round({x}, {n})"
-HAV = "2 * 6371000.0 * asin(sqrt(least(1.0, sin(radians({b1} - {a1}) / 2) ** 2 + cos(radians({a1})) * cos(radians({b1})) * sin(radians({b2} - {a2}) / 2) ** 2)))"
-FRIENDS = "fr AS (SELECT DISTINCT me, friend FROM (SELECT requester_id AS me, addressee_id AS friend FROM f_friendships WHERE status = 'accepted' UNION ALL SELECT addressee_id, requester_id FROM f_friendships WHERE status = 'accepted'))"
+__all__ = ["ORACLES", "QUERIES"]
 
 add("agg01_profile_stats", "f_runs f_profiles", aggregates.profile_stats, f"""
 SELECT p.id AS profile_id, count(DISTINCT CAST(run_at AS DATE)) AS days_skied, count(r.run_id) AS runs_count, {R("coalesce(sum(vertical_m), 0)")} AS vertical_m, {R("coalesce(max(coalesce(peak_speed_ms, speed_ms)), 0)")} AS top_speed_ms,
@@ -80,10 +48,8 @@ add("flt08_fresh", "f_fixes", lambda x: filters.fresh(x, "ts", F.lit("2024-01-20
 add("flt09_open_runs", "f_edges", lambda e: filters.open_runs(e).select("id", "name"), "SELECT id, name FROM f_edges WHERE is_open AND kind = 'run'")
 add("flt11_live_requests", "f_requests", lambda r: filters.live_requests(r, F.lit("1999-01-01").cast("timestamp")).select("id"), "SELECT id FROM f_requests WHERE status = 'pending' AND (expires_at IS NULL OR expires_at > TIMESTAMP '1999-01-01')")
 
-add("jn01_by_email", "f_profiles", lambda p: joins.by_email(p, p.where("id % 5 = 0").select(F.upper("email").alias("email"))).select("id", "email"), "SELECT id, email FROM f_profiles WHERE lower(email) IN (SELECT lower(upper(email)) FROM f_profiles WHERE id % 5 = 0)")
-add("jn01_by_contact_email", "f_profiles f_friendships", lambda p, f: joins.by_email(p, f.select(F.concat(F.lit("CUSTOMER#"), F.lpad(F.col("addressee_id").cast("string"), 9, "0"), F.lit("@MAIL.example")).alias("email"))).select("id", "email"), "SELECT id, email FROM f_profiles WHERE id IN (SELECT addressee_id FROM f_friendships)")
-add("jn02_by_phone", "f_profiles", lambda p: joins.by_phone(p, p.where("id % 7 = 0").select(F.concat(F.lit("(+)"), "phone").alias("phone"))).select("id"), r"SELECT id FROM f_profiles WHERE id % 7 = 0")
-add("jn02_by_contact_phone", "f_profiles f_friendships", lambda p, f: joins.by_phone(p, f.select(F.concat(F.lit("1.604-"), (1_000_000 + F.col("addressee_id")).cast("string")).alias("phone"))).select("id"), "SELECT id FROM f_profiles WHERE id IN (SELECT addressee_id FROM f_friendships)")
+add("jn01_by_email", "f_profiles f_friendships", lambda p, f: joins.by_email(p, f.select(F.concat(F.lit("CUSTOMER#"), F.lpad(F.col("addressee_id").cast("string"), 9, "0"), F.lit("@MAIL.example")).alias("email"))).select("id", "email"), "SELECT id, email FROM f_profiles WHERE id IN (SELECT addressee_id FROM f_friendships)")
+add("jn02_by_phone", "f_profiles f_friendships", lambda p, f: joins.by_phone(p, f.select(F.concat(F.lit("1.604-"), (1_000_000 + F.col("addressee_id")).cast("string")).alias("phone"))).select("id"), "SELECT id FROM f_profiles WHERE id IN (SELECT addressee_id FROM f_friendships)")
 add("jn03_friend_ids", "f_friendships", joins.friend_ids, f"SELECT * FROM (WITH {FRIENDS} SELECT * FROM fr)")
 add("jn04_friends", "f_profiles f_friendships", joins.friends_of, f"SELECT * FROM (WITH {FRIENDS} SELECT me, friend, display_name FROM fr JOIN f_profiles ON id = friend)")
 add("flt06_visible", "f_friendships f_blocks", joins.visible, f"SELECT * FROM (WITH {FRIENDS} SELECT me AS viewer, friend AS seen FROM fr WHERE NOT EXISTS (SELECT 1 FROM f_blocks b WHERE (b.blocker_id = me AND b.blockee_id = friend) OR (b.blocker_id = friend AND b.blockee_id = me)))")
@@ -93,20 +59,12 @@ SELECT event_id, min(id) FILTER (k = 1) AS resort_id FROM (SELECT f.event_id, r.
 FROM f_fixes f LEFT JOIN f_resorts r ON f.lat BETWEEN min_lat AND max_lat AND f.lon BETWEEN min_lon AND max_lon) GROUP BY event_id""")
 add("jn11_weather_at", "f_fixes f_hourly", lambda x, h: joins.nearest_in_time(x.select("event_id", "ts"), h, "ts", "time", ["wind_kph"]).select("event_id", "matched", "wind_kph"), f"""
 SELECT event_id, time AS matched, {R("wind_kph")} AS wind_kph FROM (SELECT event_id, time, wind_kph, row_number() OVER (PARTITION BY event_id ORDER BY abs(epoch_us(ts) - epoch_us(time)), time DESC) AS k
-FROM f_fixes JOIN f_hourly ON abs(epoch_us(ts) - epoch_us(time)) <= 86400000000) WHERE k = 1""")
-add("jn12_crumbs", "f_fixes", lambda x: windows.crumbs(x.where("event_id % 10 = 3").select(F.col("event_id").alias("id"), "user_id", (F.col("ts") + F.expr("INTERVAL '1' HOUR")).alias("ts")), x), """
-SELECT id, crumb FROM (SELECT q.event_id AS id, b.event_id AS crumb, row_number() OVER (PARTITION BY q.event_id ORDER BY b.ts DESC, b.event_id DESC) AS k FROM f_fixes q JOIN f_fixes b ON q.user_id = b.user_id AND b.ts <= q.ts + INTERVAL 1 HOUR WHERE q.event_id % 10 = 3) WHERE k = 1""")
-add("jn12_every_crumb", "f_fixes", lambda x: windows.crumbs(x.select(F.col("event_id").alias("id"), "user_id", (F.col("ts") + F.expr("INTERVAL '1' HOUR")).alias("ts")), x), """
+FROM f_fixes CROSS JOIN f_hourly) WHERE k = 1""")
+add("jn12_crumbs", "f_fixes", lambda x: windows.crumbs(x.select(F.col("event_id").alias("id"), "user_id", (F.col("ts") + F.expr("INTERVAL '1' HOUR")).alias("ts")), x), """
 SELECT q.event_id AS id, b.event_id AS crumb FROM f_fixes q ASOF JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM f_fixes GROUP BY ALL) b ON q.user_id = b.user_id AND q.ts + INTERVAL 1 HOUR >= b.ts""")
-add("jn13_overlay", "f_edges f_names", lambda e, n: joins.edge_overlay(e, e.where("source % 13 = 0").select(F.col("id").alias("key"), F.lit("by id").alias("label")), n.where("id % 6 = 0").select(F.lower("official").alias("key")).distinct().withColumn("label", F.concat(F.lit("by name "), "key"))), """
-SELECT e.id, CASE WHEN source % 13 = 0 THEN 'by id' WHEN lower(e.name) IN (SELECT lower(official) FROM f_names WHERE id % 6 = 0) THEN 'by name ' || lower(e.name) END AS label FROM f_edges e""")
-add("jn13_whole_overlay", "f_edges f_names f_fixes", lambda e, n, x: joins.edge_overlay(e, x.select(F.concat(F.lit("t"), "event_id").alias("key"), F.lit("by id").alias("label")), n.select(F.lower("official").alias("key")).distinct().withColumn("label", F.concat(F.lit("by name "), "key"))), """
+add("jn13_overlay", "f_edges f_names f_fixes", lambda e, n, x: joins.edge_overlay(e, x.select(F.concat(F.lit("t"), "event_id").alias("key"), F.lit("by id").alias("label")), n.select(F.lower("official").alias("key")).distinct().withColumn("label", F.concat(F.lit("by name "), "key"))), """
 SELECT id, CASE WHEN id IN (SELECT 't' || event_id FROM f_fixes) THEN 'by id' WHEN lower(name) IN (SELECT lower(official) FROM f_names) THEN 'by name ' || lower(name) END AS label FROM f_edges""")
-add("jn15_observation", "f_runs", lambda r: joins.observation(r.select("profile_id", "edge_id").where("edge_id IS NOT NULL").distinct().withColumn("conditions_fp", F.lit("R")), aggregates.edge_speeds(r, as_of()).where("resort_id = 'r1'")), f"""
-SELECT profile_id, edge_id, 'R' AS conditions_fp, fp AS used_fp, {R("speed")} AS speed_ms FROM (SELECT w.profile_id, w.edge_id, s.fp, s.speed, row_number() OVER (PARTITION BY w.profile_id, w.edge_id ORDER BY CASE s.fp WHEN 'R' THEN 0 WHEN 'default' THEN 1 ELSE 2 END, n DESC, s.fp) AS k
-FROM (SELECT DISTINCT profile_id, edge_id FROM f_runs WHERE edge_id IS NOT NULL) w LEFT JOIN (SELECT profile_id, edge_id, coalesce(conditions_fp, 'default') AS fp, count(*) AS n, sum(speed_ms * w) / sum(w) AS speed
- FROM (SELECT *, exp(-greatest(0, (epoch(TIMESTAMP '{AS_OF}') - epoch(run_at)) / 86400.0) / (60 / ln(2))) AS w FROM f_runs WHERE edge_id IS NOT NULL AND resort_id = 'r1') GROUP BY ALL) s USING (profile_id, edge_id)) WHERE k = 1""")
-add("jn15_every_resort", "f_runs", lambda r: joins.observation(r.select("profile_id", "resort_id", "edge_id").where("edge_id IS NOT NULL").distinct().withColumn("conditions_fp", F.lit("R")), aggregates.edge_speeds(r, as_of())), f"""
+add("jn15_observation", "f_runs", lambda r: joins.observation(r.select("profile_id", "resort_id", "edge_id").where("edge_id IS NOT NULL").distinct().withColumn("conditions_fp", F.lit("R")), aggregates.edge_speeds(r, as_of())), f"""
 SELECT profile_id, resort_id, edge_id, 'R' AS conditions_fp, fp AS used_fp, {R("speed")} AS speed_ms FROM (SELECT *, row_number() OVER (PARTITION BY profile_id, resort_id, edge_id ORDER BY CASE fp WHEN 'R' THEN 0 WHEN 'default' THEN 1 ELSE 2 END, n DESC, fp) AS k
 FROM (SELECT profile_id, resort_id, edge_id, coalesce(conditions_fp, 'default') AS fp, count(*) AS n, sum(speed_ms * w) / sum(w) AS speed
  FROM (SELECT *, exp(-greatest(0, (epoch(TIMESTAMP '{AS_OF}') - epoch(run_at)) / 86400.0) / (60 / ln(2))) AS w FROM f_runs WHERE edge_id IS NOT NULL) GROUP BY ALL)) WHERE k = 1""")
@@ -114,21 +72,18 @@ add("jn17_neighbours", "f_nodes", lambda n: joins.neighbours(n, 100.0), f"SELECT
 add("jn18_lookup", "f_profiles f_resorts", lambda p, r: joins.looked_up(p.select("id", F.col("current_resort_id").alias("resort")), r.where("id != 'r3'").select(F.col("id").alias("resort"), "name"), "resort", "name", F.lit("none")), "SELECT p.id, p.current_resort_id AS resort, coalesce(r.name, 'none') AS name FROM f_profiles p LEFT JOIN f_resorts r ON r.id = p.current_resort_id AND r.id <> 'r3'")
 
 PATHS = "SELECT 1 AS person, 1 AS node UNION ALL SELECT 2, 2 UNION ALL SELECT 3, 3"
-REACH = f"""WITH RECURSIVE src AS ({PATHS}), walk AS (SELECT person, CAST(node AS BIGINT) AS node, CAST(0 AS DOUBLE) AS metres, 0 AS k FROM src UNION ALL SELECT w.person, e.target, w.metres + e.length_m, k + 1 FROM walk w JOIN f_edges e ON e.source = w.node AND e.is_open WHERE k < 4)"""
+#: Every walk that comes to no node twice: no bound on steps.
+REACH_ALL = f"""WITH RECURSIVE src AS ({PATHS}), walk AS (SELECT person, CAST(node AS BIGINT) AS node, CAST(0 AS DOUBLE) AS metres, [CAST(node AS BIGINT)] AS seen FROM src
+ UNION ALL SELECT w.person, e.target, w.metres + e.length_m, list_append(w.seen, e.target) FROM walk w JOIN f_edges e ON e.source = w.node AND e.is_open WHERE NOT list_contains(w.seen, e.target))"""
 
 
-def paths(edges: DataFrame, rounds: int | None = 4) -> DataFrame:
-    """Over 4 edges at most, as REACH, or with None over all."""
-    return filters.reachable(edges, edges.sparkSession.createDataFrame([(1, 1), (2, 2), (3, 3)], "person int, node long"), rounds)
+def paths(edges: DataFrame) -> DataFrame:
+    return filters.reachable(edges, edges.sparkSession.createDataFrame([(1, 1), (2, 2), (3, 3)], "person int, node long"))
 
 
-add("gra_reachable", "f_edges", paths, f"SELECT * FROM ({REACH} SELECT person, node, {R('min(metres)')} AS metres FROM walk GROUP BY ALL)")
-add("jn16_reached_by_all", "f_edges", lambda e: joins.reached_by_all(paths(e).withColumnRenamed("metres", "seconds"), 3), f"SELECT * FROM ({REACH} SELECT node, {R('max(m)')} AS slowest FROM (SELECT person, node, min(metres) AS m FROM walk GROUP BY ALL) GROUP BY node HAVING count(*) = 3)")
-#: No shortest way visits a node twice, so walks end there and not at a number of steps.
-REACH_ALL = f"""WITH RECURSIVE src AS ({PATHS}), walk AS (SELECT person, CAST(node AS BIGINT) AS node, CAST(0 AS DOUBLE) AS metres, [CAST(node AS BIGINT)] AS seen FROM src UNION ALL SELECT w.person, e.target, w.metres + e.length_m, list_append(w.seen, e.target) FROM walk w JOIN f_edges e ON e.source = w.node AND e.is_open WHERE NOT list_contains(w.seen, e.target))"""
-add("rte01_one_to_all", "f_edges", lambda e: paths(e, None), f"SELECT * FROM ({REACH_ALL} SELECT person, node, {R('min(metres)')} AS metres FROM walk GROUP BY ALL)")
-add("rte01_reached_by_all", "f_edges", lambda e: joins.reached_by_all(paths(e, None).withColumnRenamed("metres", "seconds"), 3), f"SELECT * FROM ({REACH_ALL} SELECT node, {R('max(m)')} AS slowest FROM (SELECT person, node, min(metres) AS m FROM walk GROUP BY ALL) GROUP BY node HAVING count(*) = 3)")
-add("rte01_meeting", "f_edges", lambda e: meeting.meeting_points(paths(e, None).withColumnRenamed("metres", "seconds"), 3, 5), f"SELECT * FROM ({REACH_ALL} SELECT node, {R('max(m) + 0.6 * (max(m) - min(m))')} AS score FROM (SELECT person, node, min(metres) AS m FROM walk GROUP BY ALL) GROUP BY node HAVING count(*) = 3 ORDER BY max(m) + 0.6 * (max(m) - min(m)), node LIMIT 5)")
+add("rte01_least_lengths", "f_edges", lambda e: paths(e), f"SELECT * FROM ({REACH_ALL} SELECT person, node, {R('min(metres)')} AS metres FROM walk GROUP BY ALL)")
+add("jn16_reached_by_all", "f_edges", lambda e: joins.reached_by_all(paths(e).withColumnRenamed("metres", "seconds"), 3), f"SELECT * FROM ({REACH_ALL} SELECT node, {R('max(m)')} AS slowest FROM (SELECT person, node, min(metres) AS m FROM walk GROUP BY ALL) GROUP BY node HAVING count(*) = 3)")
+add("rte04_meeting", "f_edges", lambda e: meeting.meeting_points(paths(e).withColumnRenamed("metres", "seconds"), 3, 5), f"SELECT * FROM ({REACH_ALL} SELECT node, {R('max(m) + 0.6 * (max(m) - min(m))')} AS score FROM (SELECT person, node, min(metres) AS m FROM walk GROUP BY ALL) GROUP BY node HAVING count(*) = 3 ORDER BY max(m) + 0.6 * (max(m) - min(m)), node LIMIT 5)")
 
 add("win01_deltas", "f_fixes", lambda x: windows.deltas(x).select("event_id", "dt", "metres", "descent"), f"""
 SELECT event_id, {R("(epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000000.0", 3)} AS dt, {R(HAV.format(a1="lag(lat) OVER w", a2="lag(lon) OVER w", b1="lat", b2="lon"), 3)} AS metres, CASE WHEN lag(elevation) OVER w - elevation > 1 THEN lag(elevation) OVER w - elevation ELSE 0 END AS descent
@@ -146,13 +101,14 @@ SELECT user_id, event_id, {R("coalesce(elevation, CASE WHEN a IS NULL THEN be WH
  WINDOW p AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""")
 add("win09_latest", "f_fixes", lambda x: windows.latest(x, ["user_id"], -F.unix_micros(F.col("ts").cast("timestamp")), -F.col("event_id")).select("user_id", "event_id"), "SELECT user_id, event_id FROM f_fixes QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 add("win10_numbered", "f_edges", windows.numbered, "SELECT id, CASE WHEN count(*) OVER (PARTITION BY name, difficulty) > 1 THEN name || ' · #' || row_number() OVER (PARTITION BY name, difficulty ORDER BY trail_group, id) ELSE name END AS label FROM f_edges")
-add("win11_legs", "f_edges", lambda e: windows.legs(e).select("trail_group", "kind", "difficulty", "steps", "length_m"), f"""
-SELECT trail_group, min(kind) AS kind, min(difficulty) AS difficulty, count(*) AS steps, {R("sum(length_m)")} AS length_m FROM (SELECT *, sum(new) OVER (PARTITION BY trail_group ORDER BY source, id ROWS UNBOUNDED PRECEDING) AS leg FROM (
- SELECT *, CASE WHEN lag(kind) OVER w IS NULL OR kind <> lag(kind) OVER w OR difficulty <> lag(difficulty) OVER w THEN 1 ELSE 0 END AS new FROM f_edges WINDOW w AS (PARTITION BY trail_group ORDER BY source, id))) GROUP BY trail_group, leg""")
+add("win11_legs", "f_edges", lambda e: windows.legs(e).select("trail_group", "kind", "name", "steps", "length_m"), f"""
+SELECT trail_group, min(kind) AS kind, min(name) AS name, count(*) AS steps, {R("sum(length_m)")} AS length_m FROM (SELECT *, sum(new) OVER (PARTITION BY trail_group ORDER BY source, id ROWS UNBOUNDED PRECEDING) AS leg FROM (
+ SELECT *, CASE WHEN lag(kind) OVER w IS NULL OR kind <> lag(kind) OVER w OR name IS DISTINCT FROM lag(name) OVER w THEN 1 ELSE 0 END AS new FROM f_edges WINDOW w AS (PARTITION BY trail_group ORDER BY source, id))) GROUP BY trail_group, leg""")
 add("win12_cumulative", "f_edges", windows.cumulative, f"SELECT trail_group, id, {R('sum(length_m) OVER (PARTITION BY trail_group ORDER BY source, id ROWS UNBOUNDED PRECEDING)')} AS so_far_m FROM f_edges")
 add("win13_ema", "f_fixes", windows.smoothed, f"""
 SELECT user_id, {R("list_reduce(list(speed ORDER BY ts, event_id), lambda a, x: 0.2 * x + 0.8 * a)")} AS ema_ms FROM f_fixes GROUP BY user_id""")
-add("win15_friendship_pick", "f_friendships", lambda f: windows.latest(f, ["requester_id"], F.col("status"), -F.unix_micros(F.col("created_at").cast("timestamp")), F.col("id")).select("requester_id", "id", "status"), "SELECT requester_id, id, status FROM f_friendships QUALIFY row_number() OVER (PARTITION BY requester_id ORDER BY status, created_at DESC, id) = 1")
+add("win15_friendship_pick", "f_friendships", lambda f: windows.latest(f, ["requester_id"], F.when(F.col("status") == "accepted", 0).when(F.col("status") == "pending", 1).otherwise(2), -F.unix_micros(F.col("created_at").cast("timestamp")), F.col("id")).select("requester_id", "id", "status"),
+    "SELECT requester_id, id, status FROM f_friendships QUALIFY row_number() OVER (PARTITION BY requester_id ORDER BY list_position(['accepted', 'pending'], status) NULLS LAST, created_at DESC, id) = 1")
 
 add("top01_ranked", "f_edges", lambda e: filters.top(e.select("id", "length_m"), 25, F.desc("length_m"), F.col("id")), f"SELECT id, {R('length_m')} AS length_m FROM f_edges ORDER BY f_edges.length_m DESC, id LIMIT 25")
 add("top05_best_match", "f_edges", lambda e: e.groupBy("target").agg(F.min_by("id", F.struct("length_m", "id")).alias("id")), "SELECT target, id FROM f_edges QUALIFY row_number() OVER (PARTITION BY target ORDER BY length_m, id) = 1")
@@ -177,10 +133,8 @@ add("math01_bearing", "f_nodes", lambda n: n.select("id", geo.bearing(F.lit(39.6
 SELECT id, {R("fmod(degrees(atan2(sin(radians(lon - -106.4)) * cos(radians(lat)), cos(radians(39.6)) * sin(radians(lat)) - sin(radians(39.6)) * cos(radians(lat)) * cos(radians(lon - -106.4)))) + 360, 360)", 4)} AS deg, {R(HAV.format(a1="39.6", a2="-106.4", b1="lat", b2="lon"), 4)} AS metres FROM f_nodes""", 4)
 add("math03_quantised", "f_nodes", lambda n: n.select("id", geo.quantised(F.col("elevation"), 10.0).alias("elevation")), "SELECT id, round(elevation / 10.0) * 10.0 AS elevation FROM f_nodes")
 
-add("snk02_insert_ignore", "f_runs", lambda r: filters.insert_ignore(r.where("run_id % 3 = 0").select("profile_id", "dedup_hash", "run_id").dropDuplicates(["profile_id", "dedup_hash"]).select("profile_id", "dedup_hash"), r.select("profile_id", "dedup_hash"), ["profile_id", "dedup_hash"]), "SELECT DISTINCT profile_id, dedup_hash FROM f_runs")
-add("snk02_whole_insert_ignore", "f_runs", lambda r: filters.insert_ignore(r.where("run_id % 2 = 0").groupBy("profile_id", "dedup_hash").agg(F.min("run_id").alias("run_id")), r.where("run_id % 2 <> 0").select("profile_id", "dedup_hash", "run_id"), ["profile_id", "dedup_hash"]), "SELECT profile_id, dedup_hash, coalesce(min(run_id) FILTER (run_id % 2 = 0), min(run_id)) AS run_id FROM f_runs GROUP BY profile_id, dedup_hash")
-add("snk03_upsert", "f_fixes", lambda x: filters.upsert(x.where("event_id % 2 = 0").select("user_id", "event_id"), x.where("event_id % 5 = 0").select("user_id", "event_id"), ["user_id"], -F.col("event_id")), "SELECT user_id, event_id FROM (SELECT user_id, event_id, 0 AS n FROM f_fixes WHERE event_id % 2 = 0 UNION ALL SELECT user_id, event_id, 1 FROM f_fixes WHERE event_id % 5 = 0) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_id DESC) = 1")
-add("snk03_whole_upsert", "f_fixes", lambda x: filters.upsert(x.where("event_id % 2 = 0").select("user_id", "event_id"), x.where("event_id % 2 <> 0").select("user_id", "event_id"), ["user_id"], -F.col("event_id")), "SELECT user_id, coalesce(max(event_id) FILTER (event_id % 2 <> 0), max(event_id)) AS event_id FROM f_fixes GROUP BY user_id")
+add("snk02_insert_ignore", "f_runs", lambda r: filters.insert_ignore(r.where("run_id % 2 = 0").groupBy("profile_id", "dedup_hash").agg(F.min("run_id").alias("run_id")), r.where("run_id % 2 <> 0").select("profile_id", "dedup_hash", "run_id"), ["profile_id", "dedup_hash"]), "SELECT profile_id, dedup_hash, coalesce(min(run_id) FILTER (run_id % 2 = 0), min(run_id)) AS run_id FROM f_runs GROUP BY profile_id, dedup_hash")
+add("snk03_upsert", "f_fixes", lambda x: filters.upsert(x.where("event_id % 2 = 0").select("user_id", "event_id"), x.where("event_id % 2 <> 0").select("user_id", "event_id"), ["user_id"], -F.col("event_id")), "SELECT user_id, coalesce(max(event_id) FILTER (event_id % 2 <> 0), max(event_id)) AS event_id FROM f_fixes GROUP BY user_id")
 add("snk07_expired", "f_requests", lambda r: filters.expired(r, F.lit("1999-01-01").cast("timestamp")).select("id", "status"), "SELECT id, CASE WHEN status = 'pending' AND expires_at <= TIMESTAMP '1999-01-01' THEN 'expired' ELSE status END AS status FROM f_requests")
 add("snk08_illegal", "f_requests", lambda r: filters.illegal(r, r.withColumn("status", F.when(F.col("id") % 2 == 0, "accepted").otherwise("declined"))), "SELECT id, status AS was, s AS status FROM (SELECT id, status, CASE WHEN id % 2 = 0 THEN 'accepted' ELSE 'declined' END AS s FROM f_requests) WHERE status <> s AND NOT (status = 'pending')")
 add("snk14_next_version", "f_edges", lambda e: filters.next_version(e.select("trail_group", F.col("source").alias("version")), "trail_group"), "SELECT trail_group, max(source) + 1 AS version FROM f_edges GROUP BY ALL")
@@ -202,7 +156,6 @@ SELECT id, {R("greatest(coalesce(p[1], 1) * coalesce(p[2], 1) ** (1.0 / 2) * coa
 add("cost02_lift_wait", "f_edges", lambda e: e.where("kind = 'lift'").select("id", meeting.lift_wait((F.col("source") % 8), F.lit(180.0), F.col("source") % 7 >= 5).alias("wait_s")), f"SELECT id, {R('least(180.0 * CASE WHEN source % 8 >= 6 THEN 0.7 WHEN source % 8 >= 4 THEN 0.85 ELSE 1 END * CASE WHEN source % 7 >= 5 THEN 1.4 ELSE 1 END, 600)')} AS wait_s FROM f_edges WHERE kind = 'lift'")
 add("cost01_wind", "f_hourly", lambda h: h.select("time", meeting.wind_factor(F.col("wind_kph")).alias("factor")), "SELECT time, CASE WHEN wind_kph > 80 THEN 3.0 WHEN wind_kph > 60 THEN 1.5 WHEN wind_kph > 40 THEN 1.2 ELSE 1.0 END AS factor FROM f_hourly")
 add("cost06_lapse", "f_nodes", lambda n: n.select("id", meeting.lapse(F.lit(-4.0), F.col("elevation"), F.lit(2000.0)).alias("temperature_c")), f"SELECT id, {R('-4.0 - 6.5 * (elevation - 2000) / 1000')} AS temperature_c FROM f_nodes")
-add("rte04_meeting", "f_edges", lambda e: meeting.meeting_points(paths(e).withColumnRenamed("metres", "seconds"), 3, 5), f"SELECT * FROM ({REACH} SELECT node, {R('max(m) + 0.6 * (max(m) - min(m))')} AS score FROM (SELECT person, node, min(metres) AS m FROM walk GROUP BY ALL) GROUP BY node HAVING count(*) = 3 ORDER BY max(m) + 0.6 * (max(m) - min(m)), node LIMIT 5)")
 ITEMS = "CASE id % 4 WHEN 0 THEN 'official' WHEN 1 THEN 'skimap' WHEN 2 THEN 'openskimap' ELSE 'overpass' END"
 add("er01_reconciled", "f_names", lambda n: meeting.reconciled(n.select(F.lit("run").alias("kind"), F.lower("official").alias("key"), F.expr(ITEMS).alias("source"), "name")), f"""
 SELECT 'run' AS kind, key, min(name) FILTER (k = 1) AS name, {R("CASE WHEN bool_or(source = 'official') THEN 1 ELSE least(sum(w), 1) END")} AS confidence, string_agg(source, ',' ORDER BY source) AS sources FROM (
@@ -211,3 +164,5 @@ add("er06_pinned", "f_resorts", lambda r: meeting.pinned(r, r.where("id < 'r2'")
 add("stm01_latest_wins", "f_fixes", lambda x: windows.latest(x, ["user_id"], -F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id")).select("user_id", "event_id"), "SELECT user_id, event_id FROM f_fixes QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1")
 add("stm03_signal", "f_fixes", lambda x: x.select("event_id", meeting.signal(F.col("event_id") % 600).alias("signal")), "SELECT event_id, CASE WHEN event_id % 600 < 75 THEN 'live' WHEN event_id % 600 <= 300 THEN 'stale' ELSE 'cold' END AS signal FROM f_fixes")
 add("stm13_monotone", "f_fixes", lambda x: meeting.monotone(x.withColumn("generation", F.col("event_id") % 23)).select("event_id"), "SELECT event_id FROM (SELECT event_id, event_id % 23 AS g, max(CASE WHEN event_id % 23 > 0 THEN event_id % 23 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM f_fixes) WHERE g = 0 OR m IS NULL OR g > m")
+
+from . import graph_queries, social_queries, text_queries, track_queries  # noqa: E402, F401  each registers its queries
