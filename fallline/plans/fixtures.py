@@ -44,6 +44,10 @@ SQL = {
     "f_weather": """SELECT event_id AS id, ts, CAST(CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 41 - 20 END AS DOUBLE) AS temp_c, CAST(event_id % 95 AS DOUBLE) AS wind_kph, CAST(CASE WHEN event_id % 11 = 0 THEN NULL ELSE (event_id % 61) / 2.0 END AS DOUBLE) AS snow_cm,
  CAST((event_id % 101) / 5.0 AS DOUBLE) AS vis_km, CAST(event_id % 101 AS INTEGER) AS cloud, event_id % 2 = 0 AS moguls, event_id % 3 = 0 AS ungroomed, event_id % 5 = 0 AS gladed FROM events""",
     "f_trails": "SELECT p_partkey AS id, concat(CASE p_partkey % 4 WHEN 0 THEN 'É' WHEN 1 THEN 'São-' WHEN 2 THEN 'black ' ELSE '' END, p_name, CASE WHEN p_partkey % 5 = 0 THEN ' Glades!' ELSE '' END) AS name, CASE p_partkey % 3 WHEN 0 THEN 'black' WHEN 1 THEN 'blue' ELSE 'green' END AS difficulty, p_size FROM part",
+    "f_track": """SELECT user_id, event_id, k, 7.0 * k + 200.0 * floor(k / 40) AS at_s, CAST('2024-01-05 09:00:00' AS TIMESTAMP) + CAST(7 * k + 200 * CAST(floor(k / 40) AS INTEGER) AS INTEGER) * INTERVAL '1' SECOND AS ts,
+ CAST(39.60 + 0.004 * sin(CAST(k AS DOUBLE) / 9) + user_id % 7 * 0.001 AS DOUBLE) AS lat, CAST(-106.36 + 0.0003 * (k % 25) AS DOUBLE) AS lon,
+ CASE WHEN k % 9 = 0 THEN NULL ELSE CAST(2500.0 + 40 * sin(CAST(k AS DOUBLE) / 6) AS DOUBLE) END AS elevation, CAST((event_id % 17) * 1.25 AS DOUBLE) AS speed
+ FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS k FROM events) numbered""",
     "f_names": "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN concat('The ', p_name, ' Express.') WHEN 1 THEN upper(p_name) ELSE concat(p_name, ' High-Speed Quad') END AS name, p_name AS official FROM part",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
