@@ -48,6 +48,17 @@ SQL = {
  CAST(39.60 + 0.004 * sin(CAST(k AS DOUBLE) / 9) + user_id % 7 * 0.001 AS DOUBLE) AS lat, CAST(-106.36 + 0.0003 * (k % 25) AS DOUBLE) AS lon,
  CASE WHEN k % 9 = 0 THEN NULL ELSE CAST(2500.0 + 40 * sin(CAST(k AS DOUBLE) / 6) AS DOUBLE) END AS elevation, CAST((event_id % 17) * 1.25 AS DOUBLE) AS speed
  FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS k FROM events) numbered""",
+    "f_graph": """SELECT concat('e', CAST(p_partkey AS VARCHAR(20))) AS id, CAST(p_partkey AS BIGINT) AS source, CAST(p_partkey % 300 + 1 AS BIGINT) AS target, CASE p_size % 4 WHEN 0 THEN 'lift' WHEN 1 THEN 'traverse' ELSE 'run' END AS kind, p_partkey % 29 <> 0 AS is_open,
+ CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_name END AS name, CAST(CASE WHEN p_partkey % 53 = 0 THEN 3 ELSE p_partkey % 2 END AS INTEGER) AS difficulty, concat('g', CAST(p_partkey % 60 AS VARCHAR(20))) AS trail_group, CAST(p_retailprice AS DOUBLE) AS length_m, CAST(p_size * 4.0 AS DOUBLE) AS vertical_m, CAST(p_size * 1.0 AS DOUBLE) AS gradient,
+ CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS groomed, p_partkey % 4 = 0 AS moguls, p_partkey % 5 = 0 AS gladed, CASE p_partkey % 4 WHEN 0 THEN 'gondola' WHEN 1 THEN 'chairLift' WHEN 2 THEN 'tBar' END AS lift_type, CAST(p_partkey % 8 AS INTEGER) AS capacity,
+ CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE CAST(200 + p_size * 10 AS DOUBLE) END AS ride_s, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(p_partkey % 70 AS DOUBLE) END AS wait_min, CAST(1800 + p_partkey % 900 AS DOUBLE) AS mid_m,
+ CASE WHEN p_partkey % 7 = 0 THEN CAST(5.5 AS DOUBLE) END AS observed_ms, CAST(p_partkey % 6 AS INTEGER) AS observations, CAST(1.5 AS DOUBLE) AS observed_var FROM part""",
+    "f_ways": """SELECT p_partkey AS id, p_name AS name, p_brand AS difficulty, CASE p_partkey % 4 WHEN 0 THEN 'gondola' WHEN 1 THEN 'chairLift' WHEN 2 THEN 'tBar' END AS lift_type, p_size % 3 = 0 AS is_lift,
+ CAST(39.60 + (p_partkey % 40) * 0.001 AS DOUBLE) AS lat0, CAST(-106.36 + (p_partkey % 37) * 0.001 AS DOUBLE) AS lon0, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CAST(2000 + p_partkey % 50 AS DOUBLE) END AS e0,
+ CAST(39.601 + (p_partkey % 40) * 0.001 AS DOUBLE) AS lat1, CAST(-106.359 + (p_partkey % 37) * 0.001 AS DOUBLE) AS lon1, CAST(2000 + p_size AS DOUBLE) AS e1,
+ CAST(39.602 + (p_partkey % 35) * 0.001 AS DOUBLE) AS lat2, CAST(-106.358 + (p_partkey % 31) * 0.001 AS DOUBLE) AS lon2, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE CAST(2000 + p_partkey % 25 AS DOUBLE) END AS e2 FROM part""",
+    "f_manifests": """SELECT CONCAT('r', CAST(o_custkey % 25 AS VARCHAR(20))) AS resort_id, CAST(o_orderkey % 7 + 1 AS INTEGER) AS version, concat('h', CAST(o_orderkey % 13 AS VARCHAR(20))) AS content_hash, CASE WHEN o_orderkey % 5 = 0 THEN 'REJECT: wrong' WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'fine' END AS notes,
+ o_orderdate AS built_at, CAST(o_orderkey % 100 AS DOUBLE) / 100 AS confidence, o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'official' WHEN 1 THEN 'openskimap' ELSE 'overpass' END AS source FROM orders""",
     "f_names": "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN concat('The ', p_name, ' Express.') WHEN 1 THEN upper(p_name) ELSE concat(p_name, ' High-Speed Quad') END AS name, p_name AS official FROM part",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
