@@ -25,6 +25,8 @@ def kind(path: Column, content: Column) -> Column:
     by_name = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     head = F.lower(F.decode(F.substring(content, 1, 4096), "ISO-8859-1"))
     found = F.when(F.substring(head, 9, 4) == ".fit", "fit").when(F.startswith(head, F.lit("sqlite format 3")), "sqlite").when(F.startswith(head, F.lit("pk")), "zip")
+    backup = F.contains(head, F.lit('"profile"')) & F.contains(head, F.lit('"version"'))
+    found = found.when(backup, "backup")
     return F.when(by_name.isin(*EXTENSIONS), by_name).otherwise(found.when(F.contains(head, F.lit("<gpx")), "gpx").when(F.contains(head, F.lit("<trainingcenterdatabase")), "tcx").otherwise("unknown"))
 
 
@@ -71,22 +73,30 @@ def tracks(binaries: DataFrame) -> DataFrame:
 
 
 def zipped(binaries: DataFrame, most: int = 256 << 20) -> DataFrame:
-    """(path, name, content) of the members of archives, at most so many bytes each."""
+    """(path, name, content, problem) of the members of archives; one that is too large, encrypted or packed otherwise has a problem and no content."""
+
+    def member(z: zipfile.ZipFile, x: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
+        problem = "encrypted" if x.flag_bits & 1 else "method" if x.compress_type not in (0, 8) else "size" if x.file_size > most else None
+        return (None, problem) if problem else (z.read(x), None)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "name", "content", "problem"]
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        rows = [(path, x.filename, z.read(x)) for x in z.infolist() if x.file_size <= most and not x.flag_bits & 1 and x.compress_type in (0, 8)]
+                        for x in z.infolist():  # a member at a time
+                            yield pd.DataFrame([(path, x.filename, *member(z, x))], columns=names)
                 except zipfile.BadZipFile:
-                    rows = []
-                yield pd.DataFrame(rows, columns=["path", "name", "content"])
+                    yield pd.DataFrame([(path, None, None, "no archive")], columns=names)
 
-    return binaries.select("path", "content").mapInPandas(run, "path string, name string, content binary")
+    return binaries.select("path", "content").mapInPandas(run, "path string, name string, content binary, problem string")
 
 
 def gps_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a GPS table with comments; those off the globe or at its origin are dropped."""
+    """Rows of a GPS table with comments, times decoded; those off the globe or within a hundredth of a degree of a zero line are dropped, negative speeds are none."""
+    from ..operators.filters import decoded_time
+
     rows = spark.read.csv(path, schema=CSV, comment="#")
-    return rows.where("lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0)")
+    fine = rows.where("abs(lat) > 0.01 AND abs(lon) > 0.01 AND abs(lat) <= 90 AND abs(lon) <= 180")
+    return fine.withColumn("speed", F.when(F.col("speed") >= 0, F.col("speed"))).withColumn("at_s", decoded_time(F.col("ts")))

@@ -43,21 +43,31 @@ def cell_counts(fixes: DataFrame, late: str = "10 minutes", width: str = "1 hour
     return fixes.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users"))
 
 
+def versions(spark, table_path: str) -> list[int]:
+    """The versions of a table that were written to their end, in order: each is a folder that its writer has marked."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_path)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(path)]
+    done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/{n}/_SUCCESS"))
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version=") and done(n))
+
+
 def keep_latest(table_path: str, keys: list[str], order: str):
-    """A foreachBatch sink that keeps the latest row of each key; a batch that comes again changes nothing."""
+    """A foreachBatch sink that keeps the latest row of each key: one version of the table for each batch.
+
+    A version is named by its batch and made from the last finished one before it. A batch that comes
+    again, also after a crash, overwrites its own version; one that was not finished is not read.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        row = F.struct(*batch.columns)
-        new = batch.groupBy(*keys).agg(F.max_by(row, order).alias("r")).select("r.*")
-        try:
-            old = spark.read.parquet(table_path).where(F.lit(True))
-            versions = max(r.version for r in old.select("version").distinct().collect())
-        except Exception as e:  # noqa: BLE001  no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old, versions = None, -1
-        both = new if old is None else new.unionByName(old.where(F.col("version") == versions).drop("version"))
-        both.groupBy(*keys).agg(F.max_by(row, order).alias("r")).select("r.*").withColumn("version", F.lit(versions + 1)).write.mode("append").partitionBy("version").parquet(table_path)
+        latest = lambda df: df.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
+        before = [v for v in versions(spark, table_path) if v < batch_id]
+        new = latest(batch)
+        if before:
+            new = latest(new.unionByName(spark.read.parquet(f"{table_path}/version={before[-1]}").select(*batch.columns)))
+        new.write.mode("overwrite").parquet(f"{table_path}/version={batch_id}")
 
     return write

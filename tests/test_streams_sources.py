@@ -62,9 +62,11 @@ def test_gpx_and_kinds(spark):
     got = activity.tracks(df.where("path = 'a.bin'")).orderBy("segment", "seq").collect()
     assert [(r.segment, r.seq, r.lat, r.elevation, r.speed) for r in got] == [(0, 0, 39.6, 3000.0, None), (0, 1, 39.7, None, 4.5), (1, 0, 39.8, None, None)]
     assert got[1].ts.microsecond == 500_000
-    assert [(r.name, bytes(r.content)) for r in activity.zipped(df.where("path IN ('c', 'g')")).collect()] == [("in/GPS.csv", b"1,2,3\n")]
+    members = sorted((r.path, r.name, r.content and bytes(r.content), r.problem) for r in activity.zipped(df.where("path IN ('c', 'g')"), 100).collect())
+    assert members == [("c", "in/GPS.csv", b"1,2,3\n", None), ("g", None, None, "no archive")]
+    assert [r.problem for r in activity.zipped(df.where("path = 'c'"), 2).collect()] == ["size"]
 
 
 def test_gps_csv(spark, tmp_path):
-    (tmp_path / "g.csv").write_text("# comment\n1.0,39.0,-106.0,3000,0,5\n2.0,0,0,1,1,1\n3.0,95,0,1,1,1\n")
-    assert [r.ts for r in activity.gps_csv(spark, str(tmp_path / "g.csv")).collect()] == [1.0]
+    (tmp_path / "g.csv").write_text("# comment\n1.0,39.0,-106.0,3000,0,5\n2.0,0,-100,1,1,1\n3.0,95,9,1,1,1\n1700000000,39.0,-106.0,3000,0,-1\n")
+    assert [(r.ts, r.speed, r.at_s) for r in activity.gps_csv(spark, str(tmp_path / "g.csv")).collect()] == [(1.0, 5.0, 978307201.0), (1700000000.0, None, 1700000000.0)]
