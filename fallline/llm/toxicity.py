@@ -56,22 +56,28 @@ THREAT_WEIGHT = 1.0
 ASIDE_WEIGHT = 1.0
 SYMBOLS = ("word", "target", "neg", "say", "quote", "threat", *GRADES)
 REWRITTEN = ("denied", "reported")
+#: Words whose symbols a task remembers.
+WORDS_HELD = 200_000
 
 
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == FOLD
 
 
-class Lexicon:
-    """Words to symbols; `heads` finds the clauses that can match at all."""
+class Lexicon(dict):
+    """Words to symbols, remembered; `hits` finds the places at which a clause can match at all."""
 
     def __init__(self, stems: dict[str, float]):
+        import ahocorasick
+
         self.stems = dict.fromkeys(INSULTS.split(), LEAST_ODDS) | stems
         self.fixed = {w: s for s, ws in (("say", SAYING), ("neg", NEGATIONS), ("target", TARGETS), ("threat", THREATS)) for w in ws.split()}
         self.fixed |= dict.fromkeys("\"“”«»", "quote")
-        heads = sorted({*self.stems, *THREATS.split()}, key=len)
-        self.heads = re.compile(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, heads)) + ")")
         self.longest = max(map(len, self.stems))
+        self.heads = ahocorasick.Automaton()
+        for x in {*self.stems, *THREATS.split()}:
+            self.heads.add_word(x, len(x))
+        self.heads.make_automaton()
 
     def symbol(self, word: str) -> str:
         if kind := self.fixed.get(word):
@@ -81,6 +87,20 @@ class Lexicon:
                 return max((g for g, least in GRADES.items() if odds >= least), default="insult1")
         return "word"
 
+    def __missing__(self, word: str) -> int:
+        """The number of a word's symbol in SYMBOLS."""
+        if len(self) > WORDS_HELD:
+            self.clear()
+        number = self[word] = SYMBOLS.index(self.symbol(word))
+        return number
+
+    def hits(self, low: str) -> Iterator[int]:
+        """Where a word of a text in lower case begins with a stem or a threat."""
+        for end, size in self.heads.iter(low):
+            at = end - size + 1
+            if at == 0 or not (low[at - 1].isalnum() and not low[at - 1].isdecimal()):
+                yield at
+
 
 @dataclass(frozen=True)
 class Transducer:
@@ -194,20 +214,39 @@ def grammar() -> Transducer:
     return composed(composed(negation(), reporting()), pairing())
 
 
+@lru_cache(maxsize=1)
+def compiled() -> tuple[list[int], list[float], list[tuple[tuple[str, ...], float]]]:
+    """The grammar with numbers for states and symbols: where each arc leads, its weight, and the ends. No arc of it puts anything out."""
+    g = grammar()
+    if any(out for _, out, _ in g.arcs.values()):
+        raise ValueError("an arc puts something out before the end of a clause")
+    number = {state: k for k, state in enumerate(sorted(g.ends, key=lambda s: s != g.start))}
+    arcs = [g.arcs[state, s] for state in number for s in SYMBOLS]
+    return [number[to] for to, _, _ in arcs], [w for _, _, w in arcs], [g.ends[state] for state in number]
+
+
+def run_compiled(symbols: Iterable[int]) -> tuple[tuple[str, ...], float]:
+    """What the grammar makes of a clause of numbered symbols."""
+    to, weights, ends = compiled()
+    state, weight, wide = 0, 0.0, len(SYMBOLS)
+    for s in symbols:
+        at = state * wide + s
+        state = to[at]
+        weight += weights[at]
+    kinds, last = ends[state]
+    return kinds, weight + last
+
+
 def clauses(text: str, lexicon: Lexicon) -> np.ndarray:
     """Weights of matched clauses by kind: constant, sum and presence of each."""
-    low, sums, seen = text.lower(), dict.fromkeys(KINDS, 0.0), 0
-    ends, run = None, grammar().run
-    for m in lexicon.heads.finditer(low):
-        if m.start() < seen:
-            continue  # its clause has been matched
-        if ends is None:
-            ends = np.array([*(x.end() for x in CLAUSE.finditer(low)), len(low)])
-        k = int(np.searchsorted(ends, m.start(), side="right"))
-        start, seen = (int(ends[k - 1]) if k else 0), int(ends[min(k, len(ends) - 1)])
-        kinds, weight = run(map(lexicon.symbol, WORD.findall(low[start:seen])))
-        for kind in kinds:
-            sums[kind] += weight
+    low, sums = text.lower(), dict.fromkeys(KINDS, 0.0)
+    if found := list(lexicon.hits(low)):
+        ends = np.array([*(x.end() for x in CLAUSE.finditer(low)), len(low)])
+        for k in np.unique(np.searchsorted(ends, found, side="right")).tolist():
+            words = WORD.findall(low[ends[k - 1] if k else 0 : ends[k]])
+            kinds, weight = run_compiled(map(lexicon.__getitem__, words))
+            for kind in kinds:
+                sums[kind] += weight
     values = np.array(list(sums.values()))
     return np.array([1.0, *np.log1p(values), *(values > 0)])
 
