@@ -156,3 +156,18 @@ def phones_known(contacts: DataFrame, stored: DataFrame) -> DataFrame:
     """(id, stored): contacts(id, raw, region) met with stored(phone) through every form a number may have."""
     forms = contacts.select("id", F.explode(text.phone_candidates(F.col("raw"), F.col("region"))).alias("form"))
     return forms.join(stored.select(text.digits(F.col("phone")).alias("form"), F.col("phone").alias("stored")).distinct(), "form").select("id", "stored").distinct()
+
+
+def accepted_packets(packets: DataFrame, friendships: DataFrame, me: int, since: Column) -> DataFrame:
+    """Positions that are shown to one person: of friends, not of oneself, recent and with a place."""
+    friends = friend_ids(friendships).where(F.col("me") == me).select(F.col("friend").alias("user_id"))
+    return packets.where((F.col("user_id") != me) & (F.col("ts") >= since) & F.col("lat").isNotNull()).join(friends, "user_id", "left_semi")
+
+
+def lifecycle(requests: DataFrame, as_of: Column) -> DataFrame:
+    """(id, status) of all requests once the expired have expired and crossing ones have met."""
+    from .filters import expired
+
+    now = expired(requests, as_of)
+    met = mutual_requests(now).select("id", F.col("status").alias("new"))
+    return now.join(met, "id", "left").select("id", F.coalesce("new", "status").alias("status"))

@@ -166,3 +166,12 @@ add("jn14_geometry_override", "f_graph f_names", lambda g, n: g.join(n.groupBy(F
 add("snk10_unprocessed", "f_nodes f_edges", lambda n, e: n.select("id").join(e.select(F.col("target").alias("id")).distinct(), "id", "left_anti").orderBy("id").limit(100), "SELECT id FROM f_nodes WHERE id NOT IN (SELECT target FROM f_edges) ORDER BY id LIMIT 100")
 add("snk12_cache_gate", "f_manifests", lambda m: m.where((F.col("version") >= 3) & (F.col("built_at") >= F.expr("TIMESTAMP'1998-08-01 00:00:00' - INTERVAL '30' DAY"))).select("id"), "SELECT id FROM f_manifests WHERE version >= 3 AND built_at >= TIMESTAMP '1998-07-02'")
 
+RUNS = lambda g: g.where("kind = 'run'")
+add("agg16_fingerprint", "f_graph", lambda g: g.sparkSession.createDataFrame([(graphs.fingerprint(g, ["id"], F.concat_ws("|", "id", F.col("is_open").cast("string"), F.col("difficulty").cast("string"))),)], "fingerprint string"), None)
+add("arr01_chained", "f_graph", lambda g: graphs.chained(RUNS(g).select(F.col("trail_group").alias("grp"), "id", "source", "target")), None)
+add("gra15_named_by_neighbours", "f_graph", lambda g: graphs.named_by_neighbours(g.withColumn("difficulty", F.col("difficulty").cast("string"))), None)
+add("top02_diverse", "f_nodes", lambda n: meeting.diverse(n.select((F.col("id") % 10).alias("request"), "id", "lat", "lon", F.col("elevation").alias("score")).withColumn("k", F.row_number().over(Window.partitionBy("request").orderBy("score", "id"))).where("k <= 40").drop("k")), None)
+add("fea04_route", "f_graph f_nodes", lambda g, n: RUNS(g).join(n.select(F.col("id").alias("source"), F.struct("lat", "lon").alias("a")), "source").join(n.select(F.col("id").alias("target"), F.struct("lat", "lon").alias("b")), "target").select("id", features.route(F.array("a", "b"), F.col("moguls")).alias("line")).select("id", F.col("line")[0]["lat"].alias("from_lat"), F.size("line").alias("points")), "SELECT g.id, round(CASE WHEN moguls THEN a.lat ELSE b.lat END, 6) AS from_lat, 2 AS points FROM f_graph g JOIN f_nodes a ON a.id = source JOIN f_nodes b ON b.id = target WHERE kind = 'run'")
+add("fea06_user_location", "f_fixes", lambda x: x.select("event_id", F.get_json_object(features.feature(features.point(F.round("lat", 4), F.round("lon", 4)), "event_id"), "$.properties.event_id").cast("long").alias("of")), "SELECT event_id, event_id AS of FROM f_fixes")
+add("fea12_amenities", "f_trails", lambda t: features.amenities(t.select((F.col("id") % 500).alias("id"), F.col("id").alias("ordinal"), F.create_map(F.lit("amenity"), F.when(F.col("p_size") % 3 == 0, "cafe").when(F.col("p_size") % 3 == 1, "toilets").otherwise("bench"), F.lit("name"), F.when(F.col("p_size") % 2 == 0, F.col("name"))).alias("tags"))), """
+SELECT id, arg_min(kind, o) AS kind, arg_min(coalesce(n, upper(kind[1]) || kind[2:]), o) AS label FROM (SELECT id % 500 AS id, id AS o, CASE p_size % 3 WHEN 0 THEN 'food' WHEN 1 THEN 'toilets' ELSE 'other' END AS kind, CASE WHEN p_size % 2 = 0 THEN name END AS n FROM f_trails) GROUP BY id""")

@@ -46,3 +46,7 @@ add("grp01_resort_picker", "f_resorts", lambda r: social.picker(r.select("name",
 add("grp02_ski_picker", "f_trails", lambda t: social.brands(t.select(F.col("difficulty").alias("brand"), F.col("name").alias("model"), F.col("id").alias("ordinal")), "gl").select("brand", "first", F.size("models").alias("n")), "SELECT difficulty AS brand, min(id) AS first, CAST(count(*) AS INTEGER) AS n FROM f_trails WHERE contains(lower(difficulty), 'gl') OR contains(lower(name), 'gl') GROUP BY difficulty")
 add("tal01_import_tallies", "f_requests", lambda q: q.groupBy("receiver_id").agg(F.count_if(F.col("status") == "accepted").alias("runs"), F.count_if(F.col("status") == "pending").alias("duplicates"), F.count_if(F.col("status") == "declined").alias("failures")), "SELECT receiver_id, count(*) FILTER (status = 'accepted') AS runs, count(*) FILTER (status = 'pending') AS duplicates, count(*) FILTER (status = 'declined') AS failures FROM f_requests GROUP BY receiver_id")
 add("str07_phones_known", "f_contacts f_profiles", lambda c, p: social.phones_known(c, p.select(F.concat(F.lit("+1 604 555 "), F.lpad(F.col("id").cast("string"), 4, "0")).alias("phone"))), "SELECT id, '+1 604 555 ' || lpad(CAST(id AS VARCHAR), 4, '0') AS stored FROM f_contacts WHERE id % 5 = 0 OR (id % 5 = 2 AND region = 'US') OR id % 5 = 3")
+add("flt10_packets", "f_fixes f_friendships", lambda x, f: social.accepted_packets(x, f, 7, F.lit("2024-01-10 00:00:00").cast("timestamp")).select("event_id"), f"SELECT * FROM (WITH {FRIENDS} SELECT event_id FROM f_fixes WHERE user_id <> 7 AND user_id IN (SELECT friend FROM fr WHERE me = 7) AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND lat IS NOT NULL)")
+add("stm14_lifecycle", "f_requests", lambda q: social.lifecycle(q, as_of()).groupBy("status").agg(F.count("*").alias("n")), f"""
+SELECT status, count(*) AS n FROM (SELECT CASE WHEN a.status <> 'pending' THEN a.status WHEN a.expires_at <= TIMESTAMP '2001-12-31' THEN 'expired' WHEN k > 1 THEN 'cancelled' WHEN EXISTS (SELECT 1 FROM f_requests b WHERE b.status = 'pending' AND (b.expires_at IS NULL OR b.expires_at > TIMESTAMP '2001-12-31') AND b.sender_id = a.receiver_id AND b.receiver_id = a.sender_id) THEN 'accepted' ELSE 'pending' END AS status
+FROM (SELECT *, row_number() OVER (PARTITION BY sender_id, receiver_id, status = 'pending' AND (expires_at IS NULL OR expires_at > TIMESTAMP '2001-12-31') ORDER BY created_at DESC, id DESC) AS k FROM f_requests) a) GROUP BY status""")
