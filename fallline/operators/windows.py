@@ -93,18 +93,14 @@ def trailing_sums(hourly: DataFrame) -> DataFrame:
 
 
 def smoothed(fixes: DataFrame, alpha: float = 0.2) -> DataFrame:
-    """The exponential moving average of each user's speed after the last fix: a fold over the ordered list."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "speed"))), lambda x: x.speed)
-    fold = lambda a, x: F.when(a.isNull(), x).otherwise(F.lit(alpha) * x + F.lit(1 - alpha) * a)
-    return fixes.groupBy("user_id").agg(F.aggregate(ordered, F.lit(None).cast("double"), fold).alias("ema_ms"))
-
-
-def thinned(fixes: DataFrame, seconds: int = 86_400) -> DataFrame:
-    """How many fixes stay if one is kept once so many seconds have passed since the last that was."""
-    times = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda x: F.unix_micros(x.ts.cast("timestamp")))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
-    step = lambda a, t: F.when(a["last"].isNull() | (t - a["last"] >= seconds * 1_000_000), F.struct(t.alias("last"), (a.n + 1).alias("n"))).otherwise(a)
-    return fixes.groupBy("user_id").agg(F.aggregate(times, start, step, lambda a: a.n).alias("kept"))
+    """The exponential moving average of each user's speed after the last fix.
+
+    It is a sum with weights by position, so no list of a user's history is made; fixes without a speed are passed over.
+    """
+    w = Window.partitionBy("user_id")
+    rows = fixes.where("speed IS NOT NULL").select("user_id", "speed", F.row_number().over(w.orderBy(*ORDER)).alias("k"), F.count("*").over(w).alias("n"))
+    weight = F.when(F.col("k") == 1, 1.0).otherwise(alpha) * F.pow(F.lit(1 - alpha), F.col("n") - F.col("k"))
+    return rows.groupBy("user_id").agg(F.sum(F.col("speed") * weight).alias("ema_ms"))
 
 
 def crumbs(requests: DataFrame, fixes: DataFrame) -> DataFrame:
