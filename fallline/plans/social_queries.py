@@ -36,9 +36,9 @@ add("snk06_account_deleted", "f_friendships f_requests f_profiles", lambda f, q,
 add("snk07_swept", "f_fixes", lambda x: social.swept(x, "ts", F.lit("2024-01-15 00:00:00").cast("timestamp"), 15)[1], "SELECT count(*) FILTER (ts < TIMESTAMP '2024-01-14 23:45:00') AS deleted FROM f_fixes")
 add("snk13_notifications", "f_requests", lambda q: social.notifications(q.withColumn("status", F.lit("pending")).where("sender_id > 50"), q), "SELECT id, CASE WHEN sender_id > 50 THEN 'meet_accepted' ELSE 'meet_request' END AS kind, CASE WHEN sender_id > 50 THEN sender_id ELSE receiver_id END AS to FROM f_requests WHERE (sender_id > 50 AND status = 'accepted') OR (sender_id <= 50 AND status = 'pending')")
 add("snk14_applied_manifest", "f_trails f_resorts", lambda t, r: social.applied_manifest(r.select(F.col("id").alias("resort_id"), F.length("id").alias("version")), t.groupBy(F.concat(F.lit("r"), (F.col("id") % 40).cast("string")).alias("resort_id")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("name", "difficulty", F.col("p_size").cast("double").alias("length_m"))))).alias("trails"))), "SELECT 'r' || (id % 40) AS resort_id, CAST(CASE WHEN id % 40 < 25 THEN length('r' || (id % 40)) + 1 ELSE 1 END AS INTEGER) AS version, name, difficulty, round(CAST(p_size AS DOUBLE), 6) AS length_m FROM f_trails")
-add("stm12_changes", "f_requests", lambda q: social.changes(q.where("id % 3 > 0").select("id", "status"), q.where("id % 5 > 0").select("id", F.when(F.col("status") == "pending", "expired").otherwise(F.col("status")).alias("status")), "id").select("op", "id", "after"), """
-SELECT CASE WHEN id % 3 = 0 THEN 'insert' WHEN id % 5 = 0 THEN 'delete' ELSE 'update' END AS op, id, CASE WHEN id % 5 > 0 THEN '{"id":' || id || ',"status":"' || CASE status WHEN 'pending' THEN 'expired' ELSE status END || '"}' END AS after FROM f_requests
-WHERE (id % 3 = 0 AND id % 5 > 0) OR (id % 3 > 0 AND id % 5 = 0) OR (id % 3 > 0 AND id % 5 > 0 AND status = 'pending')""")
+add("stm12_changes", "f_requests", lambda q: social.changes(q.where("id % 3 > 0").select("id", "status"), q.where("id % 5 > 0 OR id % 3 = 0").select("id", F.when(F.col("status") == "pending", "expired").otherwise(F.col("status")).alias("status")), "id").select("op", "id", "after"), """
+SELECT CASE WHEN id % 3 = 0 THEN 'insert' WHEN id % 5 = 0 THEN 'delete' ELSE 'update' END AS op, id, CASE WHEN id % 5 > 0 OR id % 3 = 0 THEN '{"id":' || id || ',"status":"' || CASE status WHEN 'pending' THEN 'expired' ELSE status END || '"}' END AS after FROM f_requests
+WHERE id % 3 = 0 OR id % 5 = 0 OR (id % 3 > 0 AND id % 5 > 0 AND status = 'pending')""")
 add("exp01_backup", "f_profiles f_runs", social.exported, """
 SELECT p.id, '{"version":3,"profile":{"id":' || p.id || ',"display_name":"' || display_name || '"},"runs":[' || coalesce(x, '') || ']}' AS document FROM f_profiles p LEFT JOIN (
  SELECT profile_id, string_agg('{"run_at":"' || t || '","dedup_hash":"' || dedup_hash || '","speed_ms":"' || s || '"}', ',' ORDER BY t, dedup_hash, s) AS x FROM (SELECT profile_id, strftime(run_at, '%Y-%m-%dT%H:%M:%SZ') AS t, dedup_hash, CAST(CAST(speed_ms AS DOUBLE) AS VARCHAR) AS s FROM f_runs) GROUP BY profile_id) r ON r.profile_id = p.id""")
