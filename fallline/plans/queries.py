@@ -68,7 +68,7 @@ add("jn15_observation", "f_runs", lambda r: joins.observation(r.select("profile_
 SELECT profile_id, resort_id, edge_id, 'R' AS conditions_fp, fp AS used_fp, {R("speed")} AS speed_ms FROM (SELECT *, row_number() OVER (PARTITION BY profile_id, resort_id, edge_id ORDER BY CASE fp WHEN 'R' THEN 0 WHEN 'default' THEN 1 ELSE 2 END, n DESC, fp) AS k
 FROM (SELECT profile_id, resort_id, edge_id, coalesce(conditions_fp, 'default') AS fp, count(*) AS n, sum(speed_ms * w) / sum(w) AS speed
  FROM (SELECT *, exp(-greatest(0, (epoch(TIMESTAMP '{AS_OF}') - epoch(run_at)) / 86400.0) / (60 / ln(2))) AS w FROM f_runs WHERE edge_id IS NOT NULL) GROUP BY ALL)) WHERE k = 1""")
-add("jn17_neighbours", "f_nodes", lambda n: joins.neighbours(n, 100.0), f"SELECT a.id AS a, b.id AS b, {R(HAV.format(a1='a.lat', a2='a.lon', b1='b.lat', b2='b.lon'), 4)} AS metres FROM f_nodes a JOIN f_nodes b ON a.id < b.id AND {HAV.format(a1='a.lat', a2='a.lon', b1='b.lat', b2='b.lon')} <= 100", 4)
+add("jn17_neighbours", "f_nodes", lambda n: joins.neighbours(n, 100.0, digits=4), f"SELECT a.id AS a, b.id AS b, {R(HAV.format(a1='a.lat', a2='a.lon', b1='b.lat', b2='b.lon'), 4)} AS metres FROM f_nodes a JOIN f_nodes b ON a.id < b.id AND {HAV.format(a1='a.lat', a2='a.lon', b1='b.lat', b2='b.lon')} <= 100", 4, done=True)
 add("jn18_lookup", "f_profiles f_resorts", lambda p, r: joins.looked_up(p.select("id", F.col("current_resort_id").alias("resort")), r.where("id != 'r3'").select(F.col("id").alias("resort"), "name"), "resort", "name", F.lit("none")), "SELECT p.id, p.current_resort_id AS resort, coalesce(r.name, 'none') AS name FROM f_profiles p LEFT JOIN f_resorts r ON r.id = p.current_resort_id AND r.id <> 'r3'")
 
 PATHS = "SELECT 1 AS person, 1 AS node UNION ALL SELECT 2, 2 UNION ALL SELECT 3, 3"

@@ -18,8 +18,8 @@ def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp")
 
 
-def add(name: str, fixtures: str, run: Callable[..., DataFrame], sql: str | None, round_to: int | None = 6) -> None:
-    """run(*fixture views) is the query. Doubles are rounded on both sides where round_to is given.
+def add(name: str, fixtures: str, run: Callable[..., DataFrame], sql: str | None, round_to: int | None = 6, done: bool = False) -> None:
+    """run(*fixture views) is the query. Doubles are rounded on both sides where round_to is given; done: run has rounded its own.
 
     Without sql the query is one that SQL cannot express; a test holds its operator to brute force.
     """
@@ -27,7 +27,7 @@ def add(name: str, fixtures: str, run: Callable[..., DataFrame], sql: str | None
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = run(*(view(spark, sf_dir, n) for n in names))
-        return rounded(out, round_to)
+        return out if done else rounded(out, round_to)
 
     query.__name__ = name
     QUERIES[name] = query

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fallline.functions import geo
-from fallline.operators import filters, joins, tracks
+from fallline.operators import filters, graphs, joins, tracks
 
 
 @pytest.fixture
@@ -126,3 +126,49 @@ def test_validated_against_all_pairs(spark, soon):
     many = spark.range(900_000).select("id", F.concat(F.lit("a long and common name of number "), F.chr(F.col("id") % 30 + 97)).alias("name"))
     found = filters.validated(many, many.where("id < 30").select(F.col("name").alias("official")))
     assert found.where("verdict = 'valid'").count() == 900_000
+
+
+@pytest.fixture
+def broad(spark):
+    """The planner broadcasts whatever it may."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def some_nodes(spark, rnd):
+    places = [(39.6 + rnd.random() * 0.004, -106.36 + rnd.random() * 0.004) for _ in range(30)]
+    nodes = {k: (*rnd.choice(places), rnd.choice([None, *(float(x) for x in range(60))])) for k in range(200)} | {200: (None, -106.36, 3.0)}
+    return nodes, spark.createDataFrame([(k, *v) for k, v in nodes.items()], "id long, lat double, lon double, elevation double")
+
+
+def test_neighbours_by_places(spark, broad):
+    """Many nodes of one place, and one without; nothing that follows the nodes is broadcast."""
+    nodes, rows = some_nodes(spark, random.Random(6))
+    found = joins.neighbours(rows, 100.0)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {(a, b): metres(p, q) for a, p in nodes.items() for b, q in nodes.items() if a < b and None not in (p[0], q[0]) and metres(p, q) <= 100}
+    got = found.collect()
+    assert len(got) == len(want) > 300
+    assert {(r.a, r.b): round(r.metres, 6) for r in got} == {k: round(v, 6) for k, v in want.items()}
+
+
+def test_traverses_by_places(spark, broad):
+    """Edges either way round, twice, to themselves and to nothing; nothing that follows the nodes is broadcast."""
+    rnd = random.Random(7)
+    nodes, rows = some_nodes(spark, rnd)
+    edges = [(rnd.randrange(210), rnd.randrange(210)) for _ in range(3000)] + [(5, 5), (None, 3)]
+    found = graphs.traverses(rows, spark.createDataFrame([*edges, *edges[:50]], "source long, target long"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    joined = {(min(x), max(x)) for x in edges if None not in x}
+    want = {}
+    for a, p in nodes.items():
+        for b, q in nodes.items():
+            if a < b and None not in p + q and (a, b) not in joined and metres(p, q) < 200:
+                d = p[2] - q[2]
+                want |= {(a, b): metres(p, q)} if abs(d) <= 10 or 10 <= d <= 30 else {}
+                want |= {(b, a): metres(p, q)} if abs(d) <= 10 or 10 <= -d <= 30 else {}
+    got = found.collect()
+    assert len(got) == len(want) > 300
+    assert {(r.source, r.target): round(r.metres, 6) for r in got} == {k: round(v, 6) for k, v in want.items()}
